@@ -11,7 +11,8 @@ minima. ROWS coordinates make a band; documents that share a band's bucket are c
 Documents with equal sets are first collapsed into classes (by set size and 128 bits of hash). No bucket emits
 all its pairs: (1) every class is compared with the bucket's least class, first one, then the others that
 aren't connected yet; (2) only classes of one bucket that are still in different components are compared with
-each other, leaving out pairs inside its largest component. So no link between components is lost, and a group
+each other, leaving out pairs inside its largest component (in small buckets as pairs, in large ones block
+against block). So no link between components is lost, and a group
 of n near copies costs about n comparisons.
 
 Cases: null or empty texts, and texts without a word, have an empty set and no link; with fewer than five words
@@ -37,6 +38,8 @@ SHINGLE = 5
 PERCENT = 75
 ROWS, BANDS = 6, 64
 T = ROWS * BANDS
+#: Members of a bucket up to which its pairs are rows; classes in a block of a larger one.
+SMALL, BLOCK = 24, 128
 _SEEDS = tb.mix(np.arange(1, 2 * T + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
@@ -105,12 +108,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
+def sets_of(col: pa.Array) -> list[np.ndarray]:
+    return [x for _, _, b in tb.chunks(col) for x in shingle_sets(b)]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough; texts: (doc_id, text) of all that occur."""
 
-    def sets_of(col: pa.Array) -> list[np.ndarray]:
-        return [x for _, _, b in tb.chunks(col) for x in shingle_sets(b)]
-
     def run(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -137,6 +141,46 @@ def classes_of(sk: DataFrame) -> DataFrame:
     return stash(full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
 
 
+def block_links(named: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between components within large buckets: blocks of about BLOCK classes meet, not pairs.
+
+    named: (key, class_id, label, main, n_main, size). Classes outside a bucket's largest component are in blocks of
+    their own; each of these meets every other block of its bucket once. Inside a meeting, an inverted list of one block's
+    shingles gives all sizes of intersections, so a meeting yields links only.
+    """
+    other = F.col("label") != F.col("main")
+    n = F.when(other, F.col("size") - F.col("n_main")).otherwise(F.col("n_main"))
+    parts = F.ceil(n / BLOCK).cast("int")
+    dealt = named.withColumn("other", other).withColumn("no", F.pmod(F.xxhash64("class_id"), parts).cast("int"))
+    dealt = dealt.select("key", "other", "no", "class_id", "label").join(texts.select(F.col("doc_id").alias("class_id"), "text"), "class_id")
+    blocks = dealt.groupBy("key", "other", "no").agg(F.collect_list(F.struct("class_id", "label", "text")).alias("rows"))
+    x = blocks.where("other").select("key", F.col("no").alias("x_no"), F.col("rows").alias("xs"))
+    met = x.join(blocks.withColumnRenamed("rows", "ys"), "key").where(~F.col("other") | (F.col("x_no") <= F.col("no")))
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for i in range(batch.num_rows):
+                left, right = batch.column(0)[i].values, batch.column(1)[i].values
+                (xi, xl), (yi, yl) = ((part.field(0).to_numpy(), part.field(1).to_numpy()) for part in (left, right))
+                xs, ys = sets_of(left.field(2)), sets_of(right.field(2))
+                size = np.array([len(s) for s in ys])
+                flat = np.concatenate(ys)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], np.repeat(np.arange(len(ys)), size)[order]
+                for k, s in enumerate(xs):
+                    lo, n = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                    n -= lo
+                    at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    both = np.bincount(owner[at], minlength=len(ys))
+                    hit = np.flatnonzero((100 * both >= percent * (len(s) + size - both)) & (yl != xl[k]))
+                    a += np.maximum(yi[hit], xi[k]).tolist()
+                    b += np.minimum(yi[hit], xi[k]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return met.select("xs", "ys").mapInArrow(run, "a long, b long")
+
+
 def link_classes(docs: DataFrame, cls: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """Stored (id, label) of the classes that have a link, or None."""
     rows = cls.select(F.explode("bands").alias("key"), "class_id", "n_shingles")
@@ -153,20 +197,20 @@ def link_classes(docs: DataFrame, cls: DataFrame, percent: int = PERCENT) -> Dat
     if more.take(1):
         links = stash(links.unionByName(verified(more, texts, percent)), "links")
         labels = components(links)
-    # classes of one bucket in different components: all pairs, but for those inside its largest component
+    # classes of one bucket in different components: all but pairs inside its largest component
     named = members.join(labels.select(F.col("id").alias("class_id"), "label"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
     counts = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-    named = stash(named.join(mixed.select("key", "main"), "key"), "mixed")
-    x, y = named.where("label <> main"), named
+    mixed = counts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main")).where("labels > 1")
+    named = stash(named.join(mixed.select("key", "main", "n_main", "size"), "key"), "mixed")
+    x, y = named.where(F.col("label") != F.col("main")).where(F.col("size") <= SMALL), named.where(F.col("size") <= SMALL)
     near = x.alias("x").join(y.alias("y"), F.expr("x.key = y.key and x.label <> y.label and (y.label = y.main or x.class_id < y.class_id) and 100 * least(x.n_shingles, y.n_shingles) >= %d * greatest(x.n_shingles, y.n_shingles)" % percent))
     pairs = near.select(F.greatest("x.class_id", "y.class_id").alias("a"), F.least("x.class_id", "y.class_id").alias("b")).distinct()
     rest = stash(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    if rest.take(1):
-        found = stash(verified(rest, texts, percent), "found")
-        if found.take(1):
-            links = stash(links.unionByName(found), "links")
-            labels = components(links)
+    found = verified(rest, texts, percent).unionByName(block_links(named.where(F.col("size") > SMALL), texts, percent))
+    found = stash(found.distinct(), "found")
+    if found.take(1):
+        links = stash(links.unionByName(found), "links")
+        labels = components(links)
     unstash(shared, members, star, texts, first, named, rest)
     return labels
 
