@@ -5,7 +5,7 @@ stops at LIMIT times its source's size; the excess is shared again by weight unt
 source takes each document once if its target allows (else none), and the rest of the target is a subset of
 its documents: documents are counted by exact length, lengths are taken in proportion, longest first, up to a
 remainder under SPAN words, and a bounded-knapsack dynamic programme over the counts that are left finds
-the fitting subset for that remainder, or the nearest below it. Which documents of a length are taken follows a seeded hash.
+the subset with that sum, or with the nearest. Which documents of a length are taken follows a seeded hash.
 
 A source's table is its counts by length, never its documents; it is one row per distinct length. Ranks of
 documents within (source, length) are counted in slices, so a hot source or a common length has no task of its own.
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def subset(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
-    """How many of each length to take for a sum of `goal`, or the nearest sum under it that the programme reaches."""
+    """How many of each length to take for a sum of `goal`, or for the reachable sum nearest to it (the lower of equals)."""
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if goal <= 0 or not total:
@@ -70,22 +70,24 @@ def subset(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
         take[i] = min(c, int(owed // n))
         owed -= n * int(take[i])
     rest = goal - int((lengths * take).sum())
-    by = np.full(rest + 1, -1, np.int32)  # by which item a sum is first reached
+    top = 2 * rest  # a sum over twice the rest is farther from it than none
+    by = np.full(top + 1, -1, np.int32)  # by which item a sum is first reached
     by[0] = 0
     items: list[tuple[int, int]] = [(0, 0)]
     for i in order[::-1]:
-        n, left, k = int(lengths[i]), int(min(counts[i] - take[i], rest // lengths[i])), 1
+        n, left, k = int(lengths[i]), int(min(counts[i] - take[i], top // lengths[i])), 1
         while left > 0 and by[rest] < 0:
             k2 = min(k, left)
             step = n * k2
             items.append((int(i), k2))
-            new = np.flatnonzero((by[:-step] >= 0) & (by[step:] < 0)) + step if step <= rest else []
+            new = np.flatnonzero((by[:-step] >= 0) & (by[step:] < 0)) + step
             by[new] = len(items) - 1
             left -= k2
             k *= 2
         if by[rest] >= 0:
             break
-    at = int(np.flatnonzero(by >= 0)[-1])
+    reached = np.flatnonzero(by >= 0)
+    at = int(reached[np.argmin(np.abs(reached - rest))])
     while at:
         i, k = items[by[at]]
         take[i] += k
@@ -118,7 +120,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     plans = plan(counts.join(goal, ["has_source", "source"]))
     nothing = counts.where("size = 0").join(goal, ["has_source", "source"]).select("has_source", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("whole"), F.lit(0).cast("long").alias("more"))
     plans = stash(plans.unionByName(nothing), "plans")
-    out = ranked(rows, ["has_source", "source", "size"], F.col("_seeded"), ["doc_id"], plans)
+    out = ranked(rows, ["size", "has_source", "source"], F.col("_seeded"), ["doc_id"], plans)
     copies = F.col("whole") + F.when(F.col("rank") < F.col("more"), 1).otherwise(0)
     source = F.when(F.col("has_source"), F.col("source")).alias("source")
     return out.select(*[source if c == "source" else c for c in rest], "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
