@@ -57,6 +57,11 @@ def ks(rows: DataFrame, *by: str) -> DataFrame:
     return n.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
+def pearson(x: str, y: Column) -> Column:
+    """Correlation; null where a side doesn't vary."""
+    return F.try_divide(F.covar_pop(F.col(x).cast("double"), y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def describe(rows: DataFrame, value: str, *by: str) -> DataFrame:
     p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), p.alias("p"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))

@@ -180,7 +180,7 @@ def source_gap(spark, sf_dir):
 
 @query(f"with {PRED} select y, round(corr(score, doc_id::double), 6) as r from d group by y")
 def pearson_by_class(spark, sf_dir):
-    return predictions(spark, sf_dir).groupBy("y").agg(F.round(F.corr("score", F.col("doc_id").cast("double")), 6).alias("r"))
+    return predictions(spark, sf_dir).groupBy("y").agg(F.round(M.pearson("score", F.col("doc_id").cast("double")), 6).alias("r"))
 
 
 @query(f"with {PRED}, c as (select score, count(*) filter (y = 1) as n1, count(*) filter (y = 0) as n0 from d group by score), g as (select abs(sum(n1) over (order by score) / sum(n1) over ()::double - sum(n0) over (order by score) / sum(n0) over ()::double) as gap from c) select round(max(gap), 6) as ks from g")
@@ -296,7 +296,7 @@ def length_probe(spark, sf_dir):
     """Does a metric follow from length? Balanced range, correlation with the label, means by class."""
     s = predictions(spark, sf_dir).where(F.col("n_chars").between(500, 3000))
     m = lambda y: F.round(F.avg(F.when(F.col("y") == y, F.col("score"))), 6)
-    return s.groupBy("lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.round(F.corr("score", F.col("y").cast("double")), 6).alias("r"), m(1).alias("mean1"), m(0).alias("mean0"))
+    return s.groupBy("lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.round(M.pearson("score", F.col("y").cast("double")), 6).alias("r"), m(1).alias("mean1"), m(0).alias("mean0"))
 
 
 @query(r"with d as (select doc_id, quality as y, len(regexp_extract_all(text, '[^\x00-\x7F]')) as before, len(regexp_extract_all(regexp_replace(text, '[àâäçéèêëîïôöùûüßñáíóú]', '', 'g'), '[^\x00-\x7F]')) as after from documents join labels using (doc_id)), s as (select y, (before > 5)::int as p, (after > 5)::int as q, before - after as delta from d) select y, count(*) as n, round(avg(delta), 6) as mean_delta, round(avg((p <> q)::int), 6) as flip_rate from s group by y")

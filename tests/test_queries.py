@@ -1,5 +1,6 @@
 """Every query with SQL gives the rows that DuckDB gives; the others give rows."""
 
+import numbers
 import os
 
 import duckdb
@@ -25,7 +26,9 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def text(x):
         if x is None or x is pd.NaT or isinstance(x, float) and x != x:
             return "none"
-        return repr(float(x)) if isinstance(x, float) else str(list(x)) if hasattr(x, "__len__") and not isinstance(x, str) else str(x)
+        if isinstance(x, numbers.Number) and not isinstance(x, bool):  # a column of integers with nulls becomes floats in pandas
+            return repr(float(x))
+        return str(list(x)) if hasattr(x, "__len__") and not isinstance(x, str) else str(x)
 
     return sorted(tuple(text(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
