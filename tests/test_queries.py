@@ -24,7 +24,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def text(x):
-        if x is None or x is pd.NaT or isinstance(x, float) and x != x:
+        if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and x != x:
             return "none"
         if isinstance(x, numbers.Number) and not isinstance(x, bool):  # a column of integers with nulls becomes floats in pandas
             return repr(float(x))
