@@ -135,14 +135,59 @@ def topics(d: DataFrame, core: dict[str, str], hybrid: dict[str, str]) -> DataFr
     return d.withColumns({"core": F.size(c) > 0, "hybrid": F.size(h) > 0, "matched": F.concat(c, h)})
 
 
-def live_text(title: Column, body: Column, published: Column, updated: Column) -> Column:
-    """A running report: by its title, a marker in the body, three time stamps of updates, or a long gap."""
-    return F.coalesce(F.lower(title).rlike(r"live[ -]?(text|blog|update)"), F.lit(False)) | F.coalesce(F.lower(body).rlike(r"actualizare|update [0-9]{1,2}[:.][0-9]{2}"), F.lit(False)) | (X.n_matches(F.lower(body), r"ora [0-9]{1,2}[:.][0-9]{2}") >= 3) | F.coalesce(X.day_gap(published, updated) > 30, F.lit(False))
+def live_text(title: Column, body: Column, published: Column, updated: Column, title_sign: str = P.LIVE_TITLE, body_sign: str = P.LIVE_BODY, update_sign: str = P.LIVE_UPDATE) -> Column:
+    """A running report: by its title, a marker in the body, three marked updates, or over 30 days between publication and update."""
+    signs = [F.lower(title).rlike(title_sign), F.lower(body).rlike(body_sign), X.n_matches(body, update_sign) >= 3, X.day_gap(published, updated) > 30]
+    return F.greatest(*[F.coalesce(x, F.lit(False)) for x in signs])
 
 
-def extraction_quality(n: Column, has_story: Column, leaks: Column) -> Column:
-    """Five levels, first rule that holds."""
-    return F.when(~has_story, "fallback_verificare_manuala").when(leaks, "suspect_contaminare").when((n < 20) | (n > 1100), "suspect_dimensiune").when(n >= 64, "excelenta").otherwise("buna")
+def leaks(t: Column, patterns: dict[str, str] = P.LEAKS, heading: str = P.LEAKED_HEADING) -> Column:
+    """A fact-check's own words in what should be a quotation."""
+    return F.coalesce(F.lower(t).rlike(X.any_of(patterns.values())) | t.rlike(heading), F.lit(False))
+
+
+def extraction_quality(story: Column, summary: Column, story_leaks: Column, summary_leaks: Column, low: int = 20, high: int = 1100) -> Column:
+    """Five levels: the story decides if there is one, else the summary."""
+    n = X.n_words(story)
+    by_story = F.when(story_leaks, "suspect_contaminare").when((n < low) | (n > high), "suspect_dimensiune").otherwise("excelenta")
+    by_summary = F.when(summary_leaks, "suspect_contaminare").otherwise("buna")
+    has = lambda t: F.coalesce(t, F.lit("")) != ""
+    return F.when(has(story), by_story).when(has(summary), by_summary).otherwise("fallback_verificare_manuala")
+
+
+def in_window(title: Column, body: Column, words: list[str], chars: int = 600) -> Column:
+    """A keyword in the title or the first characters of the body."""
+    zone = F.lower(F.concat(title, F.lit(" "), F.substring(body, 1, chars)))
+    return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(zone, w))
+
+
+def accepted(category: Column, allowed: tuple[str, ...] = P.CATEGORIES) -> Column:
+    """No category, or one that names an accepted kind."""
+    c = F.lower(F.coalesce(category, F.lit("")))
+    return (c == "") | F.exists(F.array(*map(F.lit, allowed)), lambda a: F.contains(c, a))
+
+
+def normal_title(title: Column) -> Column:
+    """(title, action): excluded, prefix cut, or as it is."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    low = F.lower(t)
+    cut = F.trim(F.regexp_replace(t, "(?i)" + P.CUT_TITLES, ""))
+    action = F.when((t == "") | low.rlike(P.EXCLUDED_TITLES), "exclude").when(low.rlike(P.CUT_TITLES), F.when(cut == "", "exclude").otherwise("prefix_taiat")).otherwise("ok")
+    return F.struct(F.when(action == "exclude", "").otherwise(cut).alias("title"), action.alias("action"))
+
+
+def article_body(t: Column) -> Column:
+    """Editor tail, captions, the running report's notice, and a list of related links in the last quarter away."""
+    t = F.regexp_replace(t, P.EDITOR_TAIL, "")
+    for line in P.CAPTION_LINES:
+        t = F.regexp_replace(t, line, "")
+    t = X.cut_tail_from(F.regexp_replace(t, P.LIVE_SENTENCE, ""), P.RELATED, 0.75)
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "[ \\t]+", " "), "\\n{3,}", "\n\n"))
+
+
+def dominance(a: Column, b: Column) -> Column:
+    """Which of two topics an article is about, by matches."""
+    return F.when(b == 0, "keep").when(a >= b, "keep_a_dominant").otherwise("drop_b_dominant")
 
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
