@@ -128,7 +128,7 @@ def left_join_complete(spark, sf_dir):
 
 @query("select 'ord_' || lpad((row_number() over (order by o_orderdate nulls last, o_orderkey) - 1)::varchar, 6, '0') as new_id, o_orderkey from orders where o_orderstatus = 'P'")
 def stable_ids(spark, sf_dir):
-    """Numbered ids in date order. The order is total, so the window has one partition: for report-sized inputs; `llm.ranking` ranks at scale."""
+    """Numbered ids in date order. The order is total, so the window has one partition: for report-sized inputs."""
     w = Window.orderBy(F.col("o_orderdate").asc_nulls_last(), "o_orderkey")
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate")
     return o.select(F.concat(F.lit("ord_"), F.lpad((F.row_number().over(w) - 1).cast("string"), 6, "0")).alias("new_id"), "o_orderkey")
