@@ -147,15 +147,17 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     asked = ints.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asks = stash(asked.mapInArrow(packer(d, QUERIES), kind).select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")), "asks")
 
+    top = blocks.orderBy(F.col("longest").desc(), "part", "no").select("ids", "rows").limit(1).collect()  # one block, at most about BLOCK rows
+    top_ids, top_rows = (np.frombuffer(top[0][0], np.int64), np.frombuffer(top[0][1]).reshape(-1, d)) if top else (np.zeros(0, np.int64), np.zeros((0, d)))
+
     def bounds(batches):
         """Each query's k-th score within the longest candidates: a lower bound of its k-th score."""
         for b in batches:
             floors = []
             for r in b.to_pylist():
-                q_ids = np.frombuffer(r["q_ids"], np.int64)
-                c_ids, q, c = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_rows"]).reshape(-1, d), np.frombuffer(r["rows"]).reshape(-1, d)
+                q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_rows"]).reshape(-1, d)
                 seen: dict[int, list[int]] = {}
-                for i, _, x in score_block(q_ids, q, np.full(len(q_ids), -np.inf), c_ids, c, turn, k, head):
+                for i, _, x in score_block(q_ids, q, np.full(len(q_ids), -np.inf), top_ids, top_rows, turn, k, head):
                     seen.setdefault(i, []).append(x)
                 floors.append(np.array([float(min(seen[i])) if len(seen.get(i, ())) == k else -np.inf for i in range(len(q_ids))]).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(floors, pa.binary())], names=["q_ids", "q_rows", "floor"])
@@ -171,9 +173,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                     s.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    top = blocks.orderBy(F.col("longest").desc(), "part", "no").limit(1).select("ids", "rows")  # one block, at most BLOCK rows
-    bounded = asks.withColumn("one", F.lit(1)).join(F.broadcast(top.withColumn("one", F.lit(1))), "one")
-    asks = stash(bounded.select("q_ids", "q_rows", "ids", "rows").mapInArrow(bounds, "q_ids binary, q_rows binary, floor binary"), "bounded")
+    asks = stash(asks.mapInArrow(bounds, "q_ids binary, q_rows binary, floor binary"), "bounded")
     parts = blocks.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1
     met = blocks.join(asks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), "part")
     found = met.select("q_ids", "q_rows", "floor", "ids", "rows").mapInArrow(scored, "query_id long, vec_id long, score long")

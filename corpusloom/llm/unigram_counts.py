@@ -28,7 +28,8 @@ from corpusloom.llm.arrowmap import append, field
 
 VOCABULARY = os.environ.get("UNIGRAM_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-CACHE = 1 << 18
+#: Words that a task keeps, and the longest of them in characters.
+CACHE, LONG = 1 << 18, 64
 
 
 def vocabulary(path: str) -> tuple[list[tuple[str, float]], int, bool]:
@@ -57,6 +58,8 @@ class Counter:
     def word(self, w: str) -> int:
         n = self.seen.get(w)
         if n is None:
+            if len(w) > LONG:
+                return self.count(w)
             if len(self.seen) >= CACHE:
                 self.seen.clear()
             n = self.seen[w] = self.count(w)
