@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     labels, spent = None, []
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stash(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))  # its exchange is reused
         up = stash(least.join(least.select(F.col("id").alias("to"), F.col("to").alias("top")), "to", "left").select("id", F.coalesce("top", "to").alias("to")), "up")
         if labels is None:
             new = stash(up.select("id", F.col("to").alias("label")), "labels")
@@ -27,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
             new = stash(labels.join(up.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
         renamed = edges.join(up.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a").join(up.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b")
         after = stash(renamed.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
-        unstash(least, up, *spent)
+        unstash(up, *spent)
         labels, edges, spent = new, after, [new, after]
         if not after.take(1):
             unstash(after)
