@@ -26,11 +26,21 @@ def session(cpus: int | str = "*", app: str = "corpusloom", **conf: str) -> Spar
     return spark
 
 
+#: Arrow batches that Spark sends to Python, unless the session says otherwise than Spark's defaults.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def findable(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this machine import the package from this checkout (a cluster gets it by --py-files)."""
+    """Let Python workers on this machine import the package from this checkout (a cluster gets it by --py-files).
+
+    Batches are made smaller than by default: long texts would else fill an executor's memory outside its heap.
+    """
     root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+        for key, (default, ours) in BATCHES.items():
+            if spark.conf.get(key, default) == default:
+                spark.conf.set(key, ours)
     return spark
 
 
