@@ -22,15 +22,15 @@ def words(t: Column) -> Column:
 
 
 def n_words(t: Column) -> Column:
-    return F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0))
+    return F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def n_chars(t: Column) -> Column:
-    return F.coalesce(F.length(t), F.lit(0))
+    return F.coalesce(F.length(t), F.lit(0)).cast("long")
 
 
 def n_matches(t: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(t, F.lit(pattern)), F.lit(0))
+    return F.coalesce(F.regexp_count(t, F.lit(pattern)), F.lit(0)).cast("long")
 
 
 def n_sentences(t: Column) -> Column:

@@ -198,7 +198,7 @@ def cube_sales(spark, sf_dir):
 @query("""select o_custkey, o_orderkey, rank() over w as rk, lag(o_orderkey) over w as before, round(avg(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row), 4) as moving from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""")
 def rank_window(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).alias("rk"), F.lag("o_orderkey").over(w).alias("before"), F.round(F.avg("o_totalprice").over(w.rowsBetween(-2, 0)), 4).alias("moving"))
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).cast("long").alias("rk"), F.lag("o_orderkey").over(w).alias("before"), F.round(F.avg("o_totalprice").over(w.rowsBetween(-2, 0)), 4).alias("moving"))
 
 
 @query("select o_orderpriority, count(*) as n from orders o where exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_quantity > 45) and o_totalprice > (select avg(o_totalprice) from orders) group by 1")

@@ -185,7 +185,7 @@ def _names(col: str, ps: dict[str, str]) -> str:
 @query(f"select doc_id, len({_names('text', P.TEST_CORE)}) > 0 as core, len({_names('text', P.TEST_HYBRID)}) > 0 as hybrid, array_to_string({_names('text', P.TEST_CORE | P.TEST_HYBRID)}, '|') as matched, len({_names('text', P.CORE_TOPICS | P.HYBRID_TOPICS)}) as n_named from documents")
 def topic_details(spark, sf_dir):
     d = clean.topics(docs_of(spark, sf_dir), P.TEST_CORE, P.TEST_HYBRID)
-    return d.select("doc_id", "core", "hybrid", F.array_join("matched", "|").alias("matched"), F.size(X.matched(F.col("text"), P.CORE_TOPICS | P.HYBRID_TOPICS)).alias("n_named"))
+    return d.select("doc_id", "core", "hybrid", F.array_join("matched", "|").alias("matched"), F.size(X.matched(F.col("text"), P.CORE_TOPICS | P.HYBRID_TOPICS)).cast("long").alias("n_named"))
 
 
 @query(r"""select doc_id, a, b, case when b = 0 then 'keep' when a >= b then 'keep_a_dominant' else 'drop_b_dominant' end as verdict from (select doc_id, len(regexp_extract_all(lower(text), 'the')) as a, len(regexp_extract_all(lower(text), 'ung')) as b from documents)""")
@@ -269,7 +269,7 @@ def jaccard_top_words(spark, sf_dir):
 @query(r"select doc_id, len(regexp_replace(text, '[^\x00-\x7F]+', ' ', 'g')) as n_ascii, len(regexp_extract_all(text, '[\p{Cyrillic}]')) as n_cyrillic, len(regexp_extract_all(regexp_replace(text, '[0-9]{3,}', '[ENT]', 'g'), '\[ENT\]')) as n_masked from documents")
 def text_ablation(spark, sf_dir):
     t = F.col("text")
-    return docs_of(spark, sf_dir).select("doc_id", F.length(X.ablate(t, r"[^\x00-\x7F]+")).alias("n_ascii"), X.n_matches(t, r"[\p{IsCyrillic}]").alias("n_cyrillic"), X.n_matches(X.ablate(t, "[0-9]{3,}", "[ENT]"), r"\[ENT\]").alias("n_masked"))
+    return docs_of(spark, sf_dir).select("doc_id", X.n_chars(X.ablate(t, r"[^\x00-\x7F]+")).alias("n_ascii"), X.n_matches(t, r"[\p{IsCyrillic}]").alias("n_cyrillic"), X.n_matches(X.ablate(t, "[0-9]{3,}", "[ENT]"), r"\[ENT\]").alias("n_masked"))
 
 
 @query(rf"""select doc_id, {_N.format("text")} as n_words, len(regexp_extract_all(text, '["„”«»]')) as n_quotes, round(len(regexp_replace(text, '[\x00-\x7F]', '', 'g'))::double / len(text), 6) as non_ascii, len(regexp_extract_all(text, chr(10) || '+')) + 1 as n_paragraphs, round(len(regexp_replace(text, '[^\p{{L}}]', '', 'g'))::double / len(text), 6) as letters from documents where len(text) > 0""")
