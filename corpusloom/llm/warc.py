@@ -1,15 +1,20 @@
 """WARC records of web pages, and a Merkle fixity audit of two replicas.
 
 Pages become WARC 1.1 response records in files of FILE_RECORDS records, each with its byte offset. The audit
-hashes every record (SHA-256 of its bytes) and builds, file by file, a tree over the records' ordered offset
-ranges: a node's digest covers the start, end and digest of each of up to FANOUT children; a tree over the files'
-roots ends in one root. Two replicas are compared from the root down: only children of mismatching nodes are looked
-at, so intact branches cost nothing, and the leaves reached are the corrupt records.
-
-Every level is a groupBy on (file, parent position), so no task holds more than FANOUT children of a node, and
-a level has a FANOUT-th of the rows of the one below. Files hold a fixed number of records, so offsets never
-depend on other files. Cases: null url or html count as empty; rows without page_id come first; repeated rows
-are records of their own, in the order of page_id, url, html; an empty table has no root and no finding.
+hashes every record (SHA-256 of its bytes) and builds, file by file, a tree over ranges of record identities: a
+record's leaf is its slot (page_id within the file's range of ids) and its occurrence among the slot's records, so
+a lost record doesn't shift the others. A node's digest covers the identity, the offsets from the node's start and
+the digest of each of up to FANOUT children; a tree over the files' roots ends in one root. Two replicas are
+compared from the root down: only children of mismatching nodes are looked at, so intact branches cost nothing.
+
+Records of the leaves reached are matched by page_id: equal bytes first, the others in the order of their digests.
+What only one replica has is missing or extra, a pair of unequal bytes is corrupt. Records of equal bytes at other
+offsets (those after a lost one in its file, say) are moved; they are looked for in files with a mismatching root.
+
+Every level is a groupBy on (file, parent), so no task holds more than FANOUT children of a node, and
+a level has a FANOUT-th of the rows of the one below. Files hold a fixed range of ids, so offsets never
+depend on other files. Cases: null url or html count as empty; rows without page_id come first and have no identity but
+their bytes; repeated rows are records of their own, in the order of page_id, url, html; an empty table has no root and no finding.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from corpusloom.llm.shared import stash
 
 FANOUT = 16
 FILE_RECORDS = 1024
+SLOT_LEVELS = 3  # FANOUT ** SLOT_LEVELS >= FILE_RECORDS
+LEAF = ["file", "slot", "occ"]
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -36,80 +43,112 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """Stored (file, pos, page_id, start, end, digest): pages as WARC records in files by ranges of page_id."""
+    """Stored (file, pos, page_id, slot, occ, start, end, digest): pages as WARC records in files by ranges of page_id."""
     text = record(F.col("page_id"), F.col("url"), F.col("html"))
     rows = pages.select("page_id", F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("digest"))
     rows = rows.withColumn("file", F.coalesce(F.floor(F.col("page_id") / FILE_RECORDS), F.lit(-1)).cast("long"))
+    rows = rows.withColumn("slot", F.coalesce(F.col("page_id") - F.col("file") * FILE_RECORDS, F.lit(0)).cast("long"))
     w = Window.partitionBy("file").orderBy("page_id", "digest")
     rows = rows.withColumn("pos", F.row_number().over(w) - 1).withColumn("end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return stash(rows.select("file", F.col("pos").cast("long").alias("pos"), "page_id", (F.col("end") - F.col("size")).alias("start"), "end", "digest"), "records")
+    rows = rows.withColumn("occ", F.row_number().over(Window.partitionBy("file", "slot").orderBy("page_id", "digest")) - 1)
+    return stash(rows.select("file", F.col("pos").cast("long").alias("pos"), "page_id", "slot", F.col("occ").cast("long").alias("occ"), (F.col("end") - F.col("size")).alias("start"), "end", "digest"), "records")
 
 
-def node_digest() -> Column:
-    kids = F.sort_array(F.collect_list(F.struct("pos", "start", "end", "digest")))
-    return F.sha2(F.array_join(F.transform(kids, lambda k: F.concat_ws(":", k["start"].cast("string"), k["end"].cast("string"), k["digest"])), "|"), 256)
+def parent(by: str) -> Column:
+    return F.floor(F.col(by) / FANOUT).cast("long")
 
 
-def grow(nodes: DataFrame, group: list[str]) -> DataFrame:
-    """The level above: nodes (group, pos, start, end, digest) -> the same for their parents."""
-    up = nodes.groupBy(*group, F.floor(F.col("pos") / FANOUT).cast("long").alias("up"))
-    return up.agg(F.min("start").alias("start"), F.max("end").alias("end"), node_digest().alias("digest")).withColumnRenamed("up", "pos")
+def grow(nodes: DataFrame, key: list[str], by: str) -> DataFrame:
+    """The level above: nodes (key, start, end, digest) -> the same for their parents, ranges of FANOUT in column `by`."""
+    rest = [k for k in key if k != by]
+    up = nodes.groupBy(*rest, parent(by).alias("_up")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(F.struct(by, F.col("start").alias("s"), F.col("end").alias("e"), "digest"))).alias("kids"))
+    parts = F.transform("kids", lambda k: F.concat_ws(":", k[by].cast("string"), (k["s"] - F.col("start")).cast("string"), (k["e"] - F.col("start")).cast("string"), k["digest"]))
+    return up.select(*rest, F.col("_up").alias(by), "start", "end", F.sha2(F.array_join(parts, "|"), 256).alias("digest"))
 
 
-def tree(leaves: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Stored levels from the leaves up: (file, pos, start, end, digest) within files, (pos, ...) over the files' roots."""
-    within, level = [leaves.select("file", "pos", "start", "end", "digest")], leaves
-    most = leaves.agg(F.max("pos")).first()[0]
-    while most:
-        level = stash(grow(level, ["file"]), "tree")
-        within.append(level)
-        most //= FANOUT
-    over = [level.select((F.col("file") + 1).alias("pos"), "start", "end", "digest")]  # file -1 (no page_id) becomes 0
-    most = over[0].agg(F.max("pos")).first()[0]
-    while most:
-        over.append(stash(grow(over[-1], []), "tree"))
-        most //= FANOUT
+def height(n: int) -> int:
+    """Levels above the leaves 0 .. n."""
+    k = 0
+    while n:
+        n //= FANOUT
+        k += 1
+    return k
+
+
+def tree(leaves: DataFrame, occ_levels: int, file_levels: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Stored levels from the leaves up: (file, slot, occ, start, end, digest) within files, (pos, ...) over the files' roots."""
+    within = [leaves.select(*LEAF, "start", "end", "digest")]
+    for by in ["occ"] * occ_levels + ["slot"] * SLOT_LEVELS:
+        within.append(stash(grow(within[-1], LEAF, by), "tree"))
+    over = [within[-1].select((F.col("file") + 1).alias("pos"), "start", "end", "digest")]  # file -1 (no page_id) becomes 0
+    for _ in range(file_levels):
+        over.append(stash(grow(over[-1], ["pos"], "pos"), "tree"))
     return within, over
 
 
 def differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of nodes that only one replica has, or whose range or digest differ."""
-    y = b.select(*keys, F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("digest").alias("d2"))
-    same = F.col("start").eqNullSafe(F.col("s2")) & F.col("end").eqNullSafe(F.col("e2")) & F.col("digest").eqNullSafe(F.col("d2"))
-    return a.join(y, keys, "full").where(~same).select(*keys)
+    """Keys of nodes that only one replica has, or whose length or digest differ."""
+    size = F.col("end") - F.col("start")
+    x, y = a.select(*keys, size.alias("n1"), F.col("digest").alias("d1")), b.select(*keys, size.alias("n2"), F.col("digest").alias("d2"))
+    same = F.col("n1").eqNullSafe(F.col("n2")) & F.col("d1").eqNullSafe(F.col("d2"))
+    return x.join(y, keys, "full").where(~same).select(*keys)
+
+
+def descend(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Mismatching leaves (file, slot, occ) and files of two replicas, and the mismatching nodes of each level from the root down."""
+    most = [r.agg(F.max("occ"), F.max(F.abs(F.col("file") + 1))).first() for r in (a, b)]
+    occ_levels, file_levels = (height(max(m[i] or 0 for m in most)) for i in (0, 1))
+    (within_a, over_a), (within_b, over_b) = tree(a, occ_levels, file_levels), tree(b, occ_levels, file_levels)
+    counts: list[int] = []
+
+    def step(x: DataFrame, y: DataFrame, keys: list[str], by: str, above: DataFrame | None) -> DataFrame:
+        if above is not None:
+            hit = above.withColumnRenamed(by, "_up")
+            x, y = (t.withColumn("_up", parent(by)).join(hit, hit.columns, "left_semi") for t in (x, y))
+        bad = stash(differing(x, y, keys), "bad")
+        counts.append(bad.count())
+        return bad
+
+    bad = None
+    for x, y in zip(reversed(over_a), reversed(over_b), strict=True):
+        bad = step(x, y, ["pos"], "pos", bad)
+        if not counts[-1]:
+            break
+    files = bad.select((F.col("pos") - 1).alias("file"))
+    bad = files.select("file", F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("occ"))
+    for i in reversed(range(occ_levels + SLOT_LEVELS)):
+        if not counts[-1]:
+            break
+        bad = step(within_a[i], within_b[i], LEAF, "occ" if i < occ_levels else "slot", bad)
+    return bad, files, counts
 
 
 def audit(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(file, pos) of the records in which two replicas (from `records`) differ, and the mismatching nodes of each level from the root down."""
-    (within_a, over_a), (within_b, over_b) = tree(a), tree(b)
-    up = F.floor(F.col("pos") / FANOUT).cast("long")
-    bad, counts = None, []
-    for la, lb, keys in ((over_a, over_b, ["pos"]), (within_a, within_b, ["file", "pos"])):
-        height = max(len(la), len(lb))
-        for i in range(height - 1, -1, -1):
-            x, y = (t[i] if i < len(t) else t[0].limit(0) for t in (la, lb))
-            if bad is not None and i == height - 1:
-                x, y = (t.join(bad.select((F.col("pos") - 1).alias("file")), "file", "left_semi") for t in (x, y))
-            elif bad is not None and len(la) == len(lb):  # with trees of unequal height positions don't correspond: look at all
-                above = bad.select(*keys[:-1], F.col("pos").alias("up"))
-                x, y = (t.withColumn("up", up).join(above, [*keys[:-1], "up"], "left_semi") for t in (x, y))
-            bad = stash(differing(x, y, keys), "bad")
-            counts.append(bad.count())
-            if not counts[-1]:
-                return a.select("file", "pos").limit(0), counts
+    """Leaves (file, slot, occ) in which two replicas (from `records`) differ, and the mismatching nodes of each level from the root down."""
+    bad, _, counts = descend(a, b)
     return bad, counts
 
 
 def findings(a: DataFrame, b: DataFrame) -> DataFrame:
     """Every record of replica a or b: file, pos, page_id, start, end, digest (as in a, if it is there) and status."""
-    bad, _ = audit(a, b)
-    x = a.join(bad.withColumn("_bad", F.lit(True)), ["file", "pos"], "left")
-    y = b.join(bad, ["file", "pos"], "left_semi").select("file", "pos", F.col("page_id").alias("p2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("digest").alias("d2"))
-    suspect = x.where("_bad").join(y, ["file", "pos"], "full")
-    status = F.when(F.col("d2").isNull(), "missing").when(F.col("digest").isNull(), "extra").when(F.col("digest") != F.col("d2"), "corrupt").otherwise("moved")
-    cols = ["file", "pos", F.coalesce("page_id", "p2").alias("page_id"), F.coalesce("start", "s2").alias("start"), F.coalesce("end", "e2").alias("end"), F.coalesce("digest", "d2").alias("digest")]
-    good = x.where("_bad is null").select("file", "pos", "page_id", "start", "end", "digest", F.lit("intact").alias("status"))
-    return good.unionByName(suspect.select(*cols, status.alias("status")))
+    bad, files, _ = descend(a, b)
+    cols = ["file", "pos", "page_id", "start", "end", "digest"]
+    there = [F.col(c).alias(f"{c}2") for c in cols[1:]]
+    moved = F.when((F.col("start") != F.col("start2")) | (F.col("end") != F.col("end2")), "moved").otherwise("intact").alias("status")
+    whole = a.join(files, "file", "left_anti").select(*cols, F.lit("intact").alias("status"))
+    x, y = (t.join(files, "file", "left_semi") for t in (a, b))
+    quiet = x.join(bad, LEAF, "left_anti").join(y.select(*LEAF, *there), LEAF).select(*cols, moved)
+    # suspects: equal bytes of a page_id first, then what is left of it
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("_id")
+    nth = lambda *by: F.row_number().over(Window.partitionBy("file", "_id", *by).orderBy("pos")).alias("_k")
+    x, y = (stash(t.join(bad, LEAF, "left_semi").select(*cols, name).select("*", nth("digest")), "suspects") for t in (x, y))
+    key = ["file", "_id", "digest", "_k"]
+    equal = x.join(y.select(*key, *there), key).select(*cols, moved)
+    u, v = (s.join(t, key, "left_anti").drop("_k").withColumn("_r", F.row_number().over(Window.partitionBy("file", "_id").orderBy("digest", "pos"))) for s, t in ((x, y), (y, x)))
+    pairs = u.join(v.select("file", "_id", "_r", *there), ["file", "_id", "_r"], "full")
+    status = F.when(F.col("digest2").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt").alias("status")
+    damage = pairs.select("file", *[F.coalesce(c, f"{c}2").alias(c) for c in cols[1:]], status)
+    return whole.unionByName(quiet).unionByName(equal).unionByName(damage)
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
