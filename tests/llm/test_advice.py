@@ -2,7 +2,9 @@
 
 from collections import defaultdict
 
-from corpusloom.llm import queries, warc
+import pytest
+
+from corpusloom.llm import html_wrapper, queries, warc
 
 
 def by_status(rows):
@@ -36,3 +38,20 @@ def test_warc_repeated_and_unnamed_records(spark):
     assert sum(map(len, got.values())) == len(rows) + 1
     back = by_status(warc.findings(b, a).collect())
     assert back["extra"] == got["missing"] and back["missing"] == got["extra"] and "corrupt" not in back
+
+
+@pytest.mark.parametrize("attrs", ['class="overflow-hidden"', 'class="layout no-sidebar"', 'class="has-sidebar"', 'class="post-with-comments"', 'class="social-feed"', 'style="overflow:hidden"', 'data-x="not hidden"', 'class="sidebar"'])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_layout_classes_keep_the_article(attrs, tag):
+    page = f'<body><nav>Menu</nav><div {attrs}><{tag}><h1>Title</h1><p>Text</p><div class="share">Share</div></{tag}></div><div class="site-footer">Foot</div></body>'
+    assert html_wrapper.main_text(page, None, None) == "Title\nText"
+    if attrs != 'class="sidebar"' and "social" not in attrs:
+        assert html_wrapper.main_text(f"<body><div {attrs}><p>Text</p></div></body>", None, None) == "Text"
+
+
+def test_marked_blocks_still_go():
+    kept = "<article><p>A long article text</p></article>"
+    for part in ("<div hidden>x</div>", '<div aria-hidden="true">x</div>', '<div class="ad-slot">x</div>', '<div class="related"><article>a</article><article>b</article></div>', '<section id="comments"><article class="comment">x</article></section>', '<div class="left-sidebar">x</div>'):
+        assert html_wrapper.main_text(f"<body>{part}<div>{kept}</div>{part}</body>", None, None) == "A long article text"
+    feed = '<body><div class="social-feed"><article>a b</article><article>c d</article><article>e f</article></div></body>'
+    assert html_wrapper.main_text(feed, None, None) == "a b\nc d\ne f"
