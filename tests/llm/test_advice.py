@@ -55,3 +55,36 @@ def test_marked_blocks_still_go():
         assert html_wrapper.main_text(f"<body>{part}<div>{kept}</div>{part}</body>", None, None) == "A long article text"
     feed = '<body><div class="social-feed"><article>a b</article><article>c d</article><article>e f</article></div></body>'
     assert html_wrapper.main_text(feed, None, None) == "a b\nc d\ne f"
+
+
+def extracted(spark, pages):
+    d = spark.createDataFrame([(i, "https://h.example/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_wrapper.extract(d).collect()}
+
+
+MENU = "".join(f"<div>Menu entry {k} of this host</div>" for k in range(30))
+
+
+def layout_a(i):
+    return f"<body><div>{MENU}</div><div><p>Article number {i} says {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 30}</p></div></body>"
+
+
+def layout_b(i):
+    return f"<body><table><tr><td>Another layout's fixed line</td></tr></table><section><p>Piece number {i} tells {'zyxwvutsrqponmlkjihgfedcba'[i % 26] * 200}</p></section></body>"
+
+
+def test_templates_of_hosts_with_much_boilerplate(spark):
+    got = extracted(spark, [layout_a(i) for i in range(9)])
+    assert all(t.startswith(f"Article number {i}") and "Menu" not in t for i, t in got.items())
+
+
+def test_templates_despite_empty_pages_and_of_every_layout(spark):
+    pages = [layout_a(i) for i in range(8)] + [layout_b(i) for i in range(8)] + [None, "", " \n", "<html></html>", "<p>404</p>"]
+    got = extracted(spark, pages)
+    assert all(got[i].startswith(f"Article number {i}") for i in range(8)) and all(got[8 + i].startswith(f"Piece number {i}") for i in range(8))
+    assert not any("Menu" in t or "fixed line" in t for t in got.values()) and [got[i] for i in range(16, 21)] == ["", "", "", "", "404"]
+
+
+def test_articles_crawled_often_are_no_template(spark):
+    got = extracted(spark, [layout_a(0)] * 6 + [layout_a(0).replace("</body>", f"<p>{k}</p></body>") for k in range(6)])
+    assert all("Article number 0" in t for t in got.values())
