@@ -144,7 +144,7 @@ def lime(texts: DataFrame, score, perturbations: int = 1000, top: int = 15, seed
 def lime_surrogate(spark, sf_dir):
     """The surrogate on the benchmark items, explaining the share of capital letters."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return lime(b, lambda ts: [sum(c.isupper() for c in t) / max(1, len(t)) for t in ts], perturbations=200)
+    return lime(b, lambda ts: [sum(c.isupper() for c in t) / max(1, len(t)) for t in ts])
 
 
 def word_attributions(tokens: DataFrame) -> DataFrame:
@@ -158,5 +158,5 @@ def word_attributions(tokens: DataFrame) -> DataFrame:
 
 @query()
 def encoded_documents(spark, sf_dir):
-    """Benchmark items as vectors of the stand-in encoder."""
-    return encode(table(spark, sf_dir, "benchmark"), HashEncoder).select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("length"))
+    """Documents as vectors of the stand-in encoder; a null or empty text has length 0."""
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), HashEncoder).select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("length"))

@@ -5,6 +5,7 @@ from datetime import datetime
 import pandas as pd
 
 import __spark_entry__ as entry
+from corpusloom.plans import models
 
 from .test_queries import DATA
 
@@ -23,3 +24,16 @@ def test_coverage_gaps_counts_every_event(spark, tmp_path):
     got = run(spark, "coverage_gaps", str(tmp_path)).sort_values("day")
     assert list(got.itertuples(index=False, name=None)) == [("2024-01-01", 2, False), ("2024-01-02", 0, True), ("2024-01-03", 1, False)]
     assert run(spark, "coverage_gaps")["n"].sum() == (read("events")["event_type"] == "error").sum()
+
+
+def test_encoded_documents_are_all_documents(spark, tmp_path):
+    got, docs = run(spark, "encoded_documents"), read("documents")
+    assert sorted(got["doc_id"]) == sorted(docs["doc_id"])
+    spark.createDataFrame([(1, None), (2, ""), (3, "word " * 20000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert dict(run(spark, "encoded_documents", str(tmp_path)).itertuples(index=False, name=None)) == {1: 0.0, 2: 0.0, 3: 1.0}
+
+
+def test_lime_surrogate_makes_1000_perturbations(spark, monkeypatch):
+    seen, lime = [], models.lime
+    monkeypatch.setattr(models, "lime", lambda d, score, perturbations=1000, **k: seen.append(perturbations) or lime(d, score, perturbations, **k))
+    assert len(run(spark, "lime_surrogate")) and seen == [1000]
