@@ -59,8 +59,9 @@ def temporal_drops(spark, sf_dir):
 b as (select *, case when t = '' or regexp_matches(lower(t), '{P.EXCLUDED_TITLES}') then 'exclude' when regexp_matches(lower(t), '{P.CUT_TITLES}') then case when cut = '' then 'exclude' else 'prefix_taiat' end else 'ok' end as action from a)
 select doc_id, action, case when action = 'exclude' then '' else cut end as title from b""")
 def title_actions(spark, sf_dir):
-    t = F.concat(F.when(F.col("doc_id") % 4 == 0, "Propaganda: ").when(F.col("doc_id") % 4 == 1, "Fals: ").otherwise(""), F.substring("text", 1, 60))
-    return docs_of(spark, sf_dir).select("doc_id", clean.normal_title(t).alias("t")).select("doc_id", "t.action", "t.title")
+    """Whole titles of pages, some with a prefix put in, cleaned."""
+    t = F.concat(F.when(F.col("page_id") % 4 == 0, "Propaganda: ").when(F.col("page_id") % 4 == 1, "Fals: ").otherwise(""), html.title(F.col("html")))
+    return table(spark, sf_dir, "pages").select("page_id", clean.normal_title(t).alias("t")).select("page_id", "t.action", "t.title")
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import dedup, sampling
+from corpusloom.operators import dedup, html, sampling
 from corpusloom.registry import query
 from corpusloom.session import table
 
@@ -84,9 +84,11 @@ def group_picks(spark, sf_dir):
 @query("""with u as (select doc_id, text, 0 as priority from documents where doc_id % 2 = 0 union all select doc_id, text, 1 from documents where doc_id % 3 = 0 union all select item_id, text, 2 from benchmark)
 select doc_id, priority, sha1(text) as key from (select *, row_number() over (partition by sha1(text) order by priority, doc_id) as rn from u) where rn = 1""")
 def merge_priority_dedup(spark, sf_dir):
+    """Whole tables merged: of equal texts the one of the first table (documents, benchmark, pages) and least id."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    u = dedup.union_by_priority([d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0"), b]).withColumn("key", F.sha1("text"))
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), html.visible_text(F.col("html")).alias("text"))
+    u = dedup.union_by_priority([d, b, p]).withColumn("key", F.sha1("text"))
     return dedup.keep_first(u.drop("text"), F.col("key"), "priority", "doc_id").select("doc_id", "priority", "key")
 
 

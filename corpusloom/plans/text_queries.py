@@ -252,7 +252,7 @@ def section_state(spark, sf_dir):
 @query(rf"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '{_W}')) as word from documents) select word, count(*) as n, count(distinct doc_id) as n_docs from w group by word having count(*) >= 50""")
 def token_frequency(spark, sf_dir):
     w = docs_of(spark, sf_dir).select("doc_id", F.explode(X.words(F.lower("text"))).alias("word"))
-    return w.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")).where("n >= 50")
+    return w.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query(rf"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '{_W}')) as word from documents where doc_id % 2 = 0 or doc_id % 2 = 1), c as (select doc_id, word, count(*) as n from w group by all),
