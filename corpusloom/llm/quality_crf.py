@@ -2,7 +2,7 @@
 
 Every \\n-split line is labelled good or bad from its own features, those of the line before and of the line
 after, and the label of its neighbours. The field is trained here on documents' labels, each given to all lines
-of the document, on a bounded sample (SAMPLE labelled documents, the first TRAIN_LINES lines of each;
+of the document, on a bounded sample (SAMPLE labelled documents, all lines of each, of no more documents than reach TRAIN_LINES lines;
 scoring has no such bound). A document's score is the mean of its lines' marginal probabilities of "good",
 by forward-backward, weighted by length in bytes.
 
@@ -21,9 +21,11 @@ from pyspark.sql import types as T
 
 from corpusloom.llm import textbatch as tb
 from corpusloom.llm.arrowmap import append, field
+from corpusloom.llm.shared import stash
 
 SAMPLE = 4000
-TRAIN_LINES = 60
+#: Lines of all sampled documents together: with the one that passes this, no further document is learnt from.
+TRAIN_LINES = 240_000
 KEEP_AT = 0.3
 SYMBOL = tb.table_of("#*$%&|<>")
 UPPER = tb.table_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -156,10 +158,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             for lo, hi, b in tb.chunks(batch.column(1)):
                 x, of, _ = line_features(b)
                 cut = np.searchsorted(of, np.arange(b.n + 1))
-                blobs = [x[cut[i] : cut[i + 1]][:TRAIN_LINES].tobytes() for i in range(b.n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(blobs, pa.binary())], names=["doc_id", "_y", "x"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_y").mapInArrow(features, "doc_id long, _y int, x binary").toArrow()
+                blobs = [x[cut[i] : cut[i + 1]].tobytes() for i in range(b.n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(np.diff(cut), pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "_y", "n", "x"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_y").mapInArrow(features, "doc_id long, _y int, n long, x binary")
+    rows = stash(rows, "features")
+    sizes = rows.groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64(F.lit("crf"), "doc_id"), "doc_id").toArrow()  # at most `sample` rows
+    before = np.concatenate([[0], np.cumsum(sizes["n"].to_numpy())])[:-1]
+    if (before >= TRAIN_LINES).any():
+        rest = [int(i) for i, n in zip(sizes["doc_id"].to_pylist(), before, strict=True) if n >= TRAIN_LINES]
+        rows = rows.where(~F.col("doc_id").isin(rest))
+    rows = rows.drop("n").toArrow()
     rows = sorted(set(zip(rows["doc_id"].to_pylist(), rows["_y"].to_pylist(), rows["x"].to_pylist(), strict=True)))[: 2 * sample]
     y = np.array([r[1] for r in rows], int)
     if not len(y) or y.min() == y.max():

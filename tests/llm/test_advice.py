@@ -4,7 +4,9 @@ from collections import defaultdict
 
 import pytest
 
-from corpusloom.llm import html_wrapper, queries, warc
+from corpusloom.llm import html_wrapper, quality_crf, queries, warc
+
+from .conftest import docs_frame
 
 
 def by_status(rows):
@@ -88,3 +90,16 @@ def test_templates_despite_empty_pages_and_of_every_layout(spark):
 def test_articles_crawled_often_are_no_template(spark):
     got = extracted(spark, [layout_a(0)] * 6 + [layout_a(0).replace("</body>", f"<p>{k}</p></body>") for k in range(6)])
     assert all("Article number 0" in t for t in got.values())
+
+
+def test_classifier_learns_from_all_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_crf, "train", lambda docs, y: seen.append([len(x) for x in docs]) or (None, None))
+    docs = docs_frame(spark, ["\n".join(f"line {k} of {i}" for k in range(50 + 10 * i)) for i in range(12)])
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    quality_crf.fit(docs, labels)
+    learnt = [r["doc_id"] for r in labels.where(~quality_crf.held_out(labels["doc_id"])).collect()]
+    assert seen == [[50 + 10 * i for i in sorted(learnt)]]
+    monkeypatch.setattr(quality_crf, "TRAIN_LINES", 300)
+    quality_crf.fit(docs, labels)
+    assert 300 <= sum(seen[1]) < 300 + 160 and set(seen[1]) <= set(seen[0])  # whole documents only
