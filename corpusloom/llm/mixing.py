@@ -11,18 +11,19 @@ A source's table is its counts by length, never its documents; it is one row per
 documents within (source, length) are counted in slices, so a hot source or a common length has no task of its own.
 
 Cases: null or empty texts have size 0 and take nothing; a null source is a source of its own; repeated rows
-count each; with no words at all every target is 0; columns with an output's name are replaced.
+count each; doc_ids may be null or repeated (only their hash is used); very long texts are one size like others, and
+texts go through no shuffle; with no words at all every target is 0; columns with an output's name are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.ranking import ranked
-from corpusloom.llm.shared import n_words, small_side, stash
+from corpusloom.llm.shared import lookup, n_words, stash
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -109,33 +110,49 @@ def plan(counts: DataFrame) -> DataFrame:
     return sized.groupBy("has_source", "source").applyInPandas(fit, "has_source boolean, source string, size long, source_size long, target double, whole long, more long")
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target and taken (the words that the mix takes of the document)."""
-    new = {"size", "source_size", "target", "taken"}
-    rest = [c for c in docs.columns if c.lower() not in new and c not in ("text", "has_source")]
-    rows = docs.select(*rest, n_words(F.col("text")).alias("size"), F.col("source").isNotNull().alias("has_source"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_seeded"))
-    rows = stash(rows.withColumn("source", F.coalesce("source", F.lit(""))), "sizes")
+#: What names a row whatever its ids: two hashes of all its columns. Rows with equal hashes are copies of one row.
+ROW = ["_k1", "_k2"]
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    return [F.xxhash64(F.lit(i), *docs.columns).alias(k) for i, k in enumerate(ROW)]
+
+
+def planned(docs: DataFrame, keep: list, seed: int) -> DataFrame:
+    """`keep` and has_source, source ('' for null), size, source_size, target, taken of each row of docs."""
+    seeded = F.xxhash64(F.lit(seed), "doc_id", "text").alias("_seeded")
+    rows = docs.select(*keep, n_words(F.col("text")).alias("size"), F.col("source").isNotNull().alias("has_source"), F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("_id"), seeded)
+    rows = stash(rows, "sizes")
     counts = stash(rows.groupBy("has_source", "source", "size").agg(F.count("*").alias("n")), "counts")
     goal = stash(targets(counts.groupBy("has_source", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
     plans = plan(counts.join(goal, ["has_source", "source"]))
     nothing = counts.where("size = 0").join(goal, ["has_source", "source"]).select("has_source", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("whole"), F.lit(0).cast("long").alias("more"))
     plans = stash(plans.unionByName(nothing), "plans")
-    out = ranked(rows, ["size", "has_source", "source"], F.col("_seeded"), ["doc_id"], plans)
+    out = ranked(rows, ["size", "has_source", "source"], F.col("_seeded"), ["_id"], plans)
     copies = F.col("whole") + F.when(F.col("rank") < F.col("more"), 1).otherwise(0)
+    return out.withColumn("taken", (copies * F.col("size")).cast("long")).drop("_id", "_seeded", "whole", "more", "rank")
+
+
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """docs with size, source_size, target and taken (the words that the mix takes of the document)."""
+    new = {"size", "source_size", "target", "taken", "source", "text"}
+    rest = [c for c in docs.columns if c.lower() not in new]
+    own = [F.col(c).alias(f"_c{i}") for i, c in enumerate(rest)]  # no name of the input can clash
     source = F.when(F.col("has_source"), F.col("source")).alias("source")
-    return out.select(*[source if c == "source" else c for c in rest], "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
+    return planned(docs, own, seed).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(rest)], source, "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: rows of docs, once for each time that it takes them (whole documents)."""
-    wanted = stash(mix(docs.select("doc_id", "source", "text"), seed).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times")), "wanted")
-    if not wanted.where(F.col("doc_id").isNull()).take(1) and not repeats(docs):
-        out = docs.join(small_side(wanted), "doc_id")
-    else:  # rows that share a doc_id: the k-th of them gets the k-th count
-        k = lambda d, *o: d.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*o)))
-        out = k(docs.where(n_words(F.col("text")) > 0), "text", "source").join(k(wanted, F.desc("_times")).drop("doc_id"), ["_id", "_k"])
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
-
-
-def repeats(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().where("count > 1").take(1))
+    """The mix itself: rows of docs, once for each time that it takes them (whole documents).
+
+    Decisions come back by ROW, so null and repeated ids mean nothing: of rows that agree in all columns
+    one stands for all, as often as they are taken together.
+    """
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)
+    wanted = planned(docs, row_keys(docs), seed).groupBy(*ROW).agg(F.sum(times).cast("long").alias("times"), F.count("*").alias("rows")).where("times > 0")
+    wanted = stash(wanted.withColumn("n", F.col("rows")), "wanted")
+    rows = lookup(docs.select(F.struct(*docs.columns).alias("_row"), *row_keys(docs)), wanted, ROW, "rows", "inner")
+    out = rows.where("n = 1")
+    if wanted.where("n > 1").take(1):
+        out = out.unionByName(rows.where("n > 1").dropDuplicates(ROW))
+    return out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("_row.*")

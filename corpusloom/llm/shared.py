@@ -17,9 +17,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a folder of our own."""
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("corpusloom.shared.dir", "")
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, in a local session) a folder of our own."""
+    d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("corpusloom.shared.dir", "")
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("corpusloom.shared.dir", d)
     return d.rstrip("/")
@@ -63,21 +65,26 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Rows of at most some tens of bytes that may be broadcast, after they have been counted; more are dealt by key.
+SMALL_ROWS = 250_000
 #: A key with over 1 / HEAVY of the rows is heavy, so there are fewer than HEAVY such keys, whatever the size.
 HEAVY = 1000
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: str = "left", total: int | None = None) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: str = "left", total: int | None = None, most: int | None = None) -> DataFrame:
     """big joined with small, which has each key once and how many rows of big the key has, in column `rows`.
 
     Fewer than HEAVY keys can each have over 1/HEAVY of big's rows: those few are broadcast (a bound that
-    doesn't grow with the data), so that no task gets all rows of a hot key. The others are dealt by key.
-    `total`: the rows of big, if known. small should be a stored table: it is read twice. Column `rows` is dropped.
+    doesn't grow with the data), so that no task gets all rows of a hot key. The others are dealt by key. A small table of
+    at most SMALL_ROWS rows (counted) is broadcast whole.
+    `total`: the rows of big, `most`: a bound of the rows of small, if known. small should be a stored table: it is read twice. Column `rows` is dropped.
     """
-    spark = big.sparkSession
-    if total is None:
-        total = small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
-    least = max(2, total // HEAVY + 1)
+    if most is not None and most <= SMALL_ROWS:
+        return big.join(F.broadcast(small.drop(rows)), keys, how)
+    n, seen = small.agg(F.count("*"), F.coalesce(F.sum(rows), F.lit(0))).first()
+    if n <= SMALL_ROWS:
+        return big.join(F.broadcast(small.drop(rows)), keys, how)
+    least = max(2, (seen if total is None else total) // HEAVY + 1)
     heavy = small.where(F.col(rows) >= least).drop(rows)
     names = [r for r in heavy.take(1)]
     if not names:
@@ -89,10 +96,6 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: st
     return light.unionByName(hot)
 
 
-#: Rows of at most some tens of bytes that may be broadcast, after they have been counted; more are dealt by key.
-SMALL_ROWS = 1_000_000
-
-
 def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """df, for broadcast if it has at most `limit` rows (they are counted); else for Spark's ordinary joins."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
