@@ -1,9 +1,8 @@
 """Quality classifier: a linear-chain conditional random field over a document's lines.
 
 Every \\n-split line is labelled good or bad from its own features, those of the line before and of the line
-after, and the label of its neighbours. The field is trained here on documents' labels, each given to all lines
-of the document, on a bounded sample (SAMPLE labelled documents, all lines of each, of no more documents than reach TRAIN_LINES lines;
-scoring has no such bound). A document's score is the mean of its lines' marginal probabilities of "good",
+after, and the label of its neighbours. The field is trained here on documents' labels (see `train`), on a bounded sample (SAMPLE
+labelled documents, all lines of each, of no more documents than reach TRAIN_LINES lines; scoring has no such bound). A document's score is the mean of its lines' marginal probabilities of "good",
 by forward-backward, weighted by length in bytes.
 
 Inputs of a score are the text only. Cases: null and empty texts are one empty line of weight 1; without
@@ -27,6 +26,8 @@ SAMPLE = 4000
 #: Lines of all sampled documents together: with the one that passes this, no further document is learnt from.
 TRAIN_LINES = 240_000
 KEEP_AT = 0.3
+#: Probability by itself from which a line of a bad document is taken for good.
+CLEAR = 0.9
 SYMBOL = tb.table_of("#*$%&|<>")
 UPPER = tb.table_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 ALPHA = UPPER | tb.table_of("abcdefghijklmnopqrstuvwxyz")
@@ -76,30 +77,35 @@ def line_features(b: tb.Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([x, near], axis=1), lt, np.maximum(le - ls, 1)
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, steps: int = 150, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the features (for "good") and the 2 x 2 transition scores, by maximum likelihood (full-batch Adam)."""
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    docs, labels = [docs[i] for i in order], labels[order]
-    length = np.array([len(f) for f in docs])
-    longest, d = int(length[0]), docs[0].shape[1]
-    active = [int((length > k).sum()) for k in range(longest)]  # the documents with a line k come first
-    x = [np.stack([docs[i][k] for i in range(active[k])]).astype(float) for k in range(longest)]
-    flat = np.concatenate(x)
-    cut = np.cumsum(active)[:-1]
-    seen_w = flat.T @ np.concatenate([labels[:a] for a in active]).astype(float)
-    seen_t = np.zeros((2, 2))
-    for c in (0, 1):
-        seen_t[c, c] = sum((labels[:a] == c).sum() for a in active[1:])
-    w, t = np.zeros(d), np.zeros((2, 2))
-    m = [np.zeros(d + 4), np.zeros(d + 4)]
-    for step in range(1, steps + 1):
-        u = np.clip(flat @ w, -30, 30) / 2
-        e = np.split(np.stack([np.exp(-u), np.exp(u)], axis=1), cut)
+class Likelihood:
+    """Log likelihood of labelled documents (a label for each line) and its gradient, all documents side by side."""
+
+    def __init__(self, docs: list[np.ndarray], labels: list[np.ndarray]):
+        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        length = np.array([len(docs[i]) for i in order])
+        self.longest, self.d = int(length[0]), docs[0].shape[1]
+        self.active = [int((length > k).sum()) for k in range(self.longest)]  # the documents with a line k come first
+        self.flat = np.concatenate([np.stack([docs[i][k] for i in order[:a]]) for k, a in enumerate(self.active)]).astype(float)
+        self.cut = np.cumsum(self.active)[:-1]
+        y = [np.array([labels[i][k] for i in order[:a]], int) for k, a in enumerate(self.active)]
+        self.y = np.concatenate(y)
+        self.seen_w = self.flat.T @ self.y.astype(float)
+        self.seen_t = np.zeros((2, 2))
+        for k in range(1, self.longest):
+            np.add.at(self.seen_t, (y[k - 1][: self.active[k]], y[k]), 1)
+
+    def __call__(self, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        longest, active = self.longest, self.active
+        u = np.clip(self.flat @ w, -30, 30) / 2
+        e = np.split(np.stack([np.exp(-u), np.exp(u)], axis=1), self.cut)
         et = np.exp(t)
-        fwd = [e[0] / e[0].sum(1, keepdims=True)]
+        norm = e[0].sum(1, keepdims=True)
+        fwd, log_z = [e[0] / norm], float(np.log(norm).sum())
         for k in range(1, longest):
             a = (fwd[-1][: active[k]] @ et) * e[k]
-            fwd.append(a / a.sum(1, keepdims=True))
+            norm = a.sum(1, keepdims=True)
+            log_z += float(np.log(norm).sum())
+            fwd.append(a / norm)
         back = np.full((active[-1], 2), 0.5)
         p, joint = [None] * longest, np.zeros((2, 2))
         for k in range(longest - 1, -1, -1):
@@ -112,16 +118,45 @@ def train(docs: list[np.ndarray], labels: np.ndarray, steps: int = 150, l2: floa
                 a = ahead @ et.T
                 back = np.full((active[k - 1], 2), 0.5)
                 back[: active[k]] = a / a.sum(1, keepdims=True)
-        grad = np.concatenate([seen_w - flat.T @ np.concatenate(p) - l2 * w, (seen_t - joint - l2 * t).ravel()]) / len(flat)
+        value = float((u * (2 * self.y - 1)).sum() + (self.seen_t * t).sum()) - log_z
+        return value, self.seen_w - self.flat.T @ np.concatenate(p), self.seen_t - joint
+
+
+def climb(docs: list[np.ndarray], labels: list[np.ndarray], steps: int, l2: float, chain: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the greatest likelihood less l2 times half of their squares (full-batch Adam); transitions stay 0 without chain."""
+    value = Likelihood(docs, labels)
+    d = value.d
+    w, t = np.zeros(d), np.zeros((2, 2))
+    m = [np.zeros(d + 4), np.zeros(d + 4)]
+    for step in range(1, steps + 1):
+        _, gw, gt = value(w, t)
+        grad = np.concatenate([gw - l2 * w, (gt - l2 * t).ravel()]) / len(value.flat)
         m[0] = 0.9 * m[0] + 0.1 * grad
         m[1] = 0.99 * m[1] + 0.01 * grad**2
         move = 0.15 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
-        w, t = w + move[:d], t + move[d:].reshape(2, 2)
+        w, t = w + move[:d], t + move[d:].reshape(2, 2) * chain
     return w, t
 
 
-def score(x: np.ndarray, of: np.ndarray, length: np.ndarray, n: int, w: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Length-weighted mean marginal of each of n texts."""
+def train(docs: list[np.ndarray], labels: np.ndarray, steps: int = 150, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the features (for "good") and the 2 x 2 transition scores.
+
+    Only documents are labelled. A first field without transitions learns each line with its document's label; lines of bad
+    documents that it finds good by themselves (CLEAR) are labelled good, unless these are half of the document or more. The
+    field is then trained on the labels of lines, so it sees documents that go from good to bad.
+    """
+    lines = [np.full(len(x), y) for x, y in zip(docs, labels, strict=True)]
+    w, t = climb(docs, lines, steps, l2, chain=False)
+    for i, x in enumerate(docs):
+        if labels[i] == 0 and len(x) > 1:
+            good = x @ w >= np.log(CLEAR / (1 - CLEAR))
+            if 2 * good.sum() < len(x):
+                lines[i] = good.astype(int)
+    return climb(docs, lines, steps, l2)
+
+
+def marginals(x: np.ndarray, of: np.ndarray, w: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Probability of "good" of each line, by forward-backward within its text."""
     odds = np.exp(np.clip(x @ w, -30, 30)).tolist()
     (t00, t01), (t10, t11) = np.exp(t).tolist()
     m = len(odds)
@@ -140,7 +175,12 @@ def score(x: np.ndarray, of: np.ndarray, length: np.ndarray, n: int, w: np.ndarr
         r *= odds[i]
         last = text[i]
     o = np.array(odds) * np.array(ahead) * np.array(back)
-    p = o / (1 + o)
+    return o / (1 + o)
+
+
+def score(x: np.ndarray, of: np.ndarray, length: np.ndarray, n: int, w: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Length-weighted mean marginal of each of n texts."""
+    p = marginals(x, of, w, t)
     return np.bincount(of, weights=p * length, minlength=n) / np.bincount(of, weights=length, minlength=n)
 
 
@@ -169,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         rest = [int(i) for i, n in zip(sizes["doc_id"].to_pylist(), before, strict=True) if n >= TRAIN_LINES]
         rows = rows.where(~F.col("doc_id").isin(rest))
     rows = rows.drop("n").toArrow()
-    rows = sorted(set(zip(rows["doc_id"].to_pylist(), rows["_y"].to_pylist(), rows["x"].to_pylist(), strict=True)))[: 2 * sample]
+    rows = sorted(set(zip(rows["doc_id"].to_pylist(), rows["_y"].to_pylist(), rows["x"].to_pylist(), strict=True)))
     y = np.array([r[1] for r in rows], int)
     if not len(y) or y.min() == y.max():
         return (y.sum() + 1.0) / (len(y) + 2.0)

@@ -73,15 +73,18 @@ def _replica(html: str, where: str) -> str:
     body = _BODY.replace("coalesce(html", f"coalesce({html}")
     rows = f"select page_id, url, {body} as body from pages where {where}"
     text = f"select page_id, {_RECORD} as r from ({rows})"
-    sized = f"select page_id, coalesce(page_id // 1024, -1) as file, strlen(r) as size, sha256(r) as digest from ({text})"
-    return f"""select file, row_number() over w - 1 as pos, page_id, (sum(size) over w - size)::bigint as "start", (sum(size) over w)::bigint as "end", digest from ({sized}) window w as (partition by file order by page_id nulls first, digest rows unbounded preceding)"""
+    sized = f"select page_id, page_id >> 10 as file, strlen(r) as size, sha256(r) as digest from ({text})"
+    bucket = "case when page_id is null then substr(digest, 1, 3) end"
+    return f"""select file, row_number() over w - 1 as pos, page_id, (sum(size) over w - size)::bigint as "start", (sum(size) over w)::bigint as "end", digest, row_number() over (partition by page_id, digest) as k from ({sized}) window w as (partition by file, {bucket} order by page_id, digest rows unbounded preceding)"""
 
 
 SQL = {
-    "op7_warc_fixity": f"""with a as ({_replica("html", "true")}), b as ({_replica("case when page_id % 97 = 5 then '#' || substr(html, 2) else html end", "coalesce(page_id % 211 <> 7, true)")})
-select coalesce(a.file, b.file) as file, coalesce(a.pos, b.pos) as pos, coalesce(a.page_id, b.page_id) as page_id, coalesce(a."start", b."start") as "start", coalesce(a."end", b."end") as "end", coalesce(a.digest, b.digest) as digest,
- case when b.digest is null then 'missing' when a.digest is null then 'extra' when a.digest <> b.digest then 'corrupt' when a."start" <> b."start" or a."end" <> b."end" then 'moved' else 'intact' end as status
-from a full join b on a.file = b.file and a.pos = b.pos""",
+    "op7_warc_fixity": f"""with a as ({_replica("html", "true")}), b as ({_replica("case when page_id % 97 = 5 then '#' || substr(html, 2) else html end", "coalesce(page_id % 211 <> 7, true)")}),
+e as (select a.file, a.pos, a.page_id, a."start", a."end", a.digest, case when a."start" <> b."start" or a."end" <> b."end" then 'moved' else 'intact' end as status from a join b on a.page_id is not distinct from b.page_id and a.digest = b.digest and a.k = b.k),
+u as (select *, row_number() over (partition by page_id order by digest, pos) as r from a where not exists (select 1 from b where a.page_id is not distinct from b.page_id and a.digest = b.digest and a.k = b.k)),
+v as (select *, row_number() over (partition by page_id order by digest, pos) as r from b where not exists (select 1 from a where a.page_id is not distinct from b.page_id and a.digest = b.digest and a.k = b.k))
+select * from e union all select coalesce(u.file, v.file), coalesce(u.pos, v.pos), coalesce(u.page_id, v.page_id), coalesce(u."start", v."start"), coalesce(u."end", v."end"), coalesce(u.digest, v.digest),
+ case when v.digest is null then 'missing' when u.digest is null then 'extra' else 'corrupt' end from u full join v on u.page_id is not distinct from v.page_id and u.r = v.r""",
     "op8_exact_topk": """with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
 r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s)

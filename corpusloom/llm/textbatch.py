@@ -1,8 +1,9 @@
 """Words, lines and their hashes for whole Arrow batches of texts, by numpy on the UTF-8 bytes.
 
 Separators are ASCII, so they can be found in the bytes; a code point is a byte that isn't a continuation
-byte. A word's hash is a difference of prefix sums of byte * P**i (modulo 2**64), shifted back by the inverse
-power and mixed, so no Python loop runs over words.
+byte. A span's hash joins two polynomial hashes, each a difference of prefix sums, so no Python loop runs over words: one
+modulo 2**64, which texts of a regular pattern can fool (any power of 2 can be), and one modulo the prime 2**31 - 1. Each
+is shifted back by the inverse power, and both are mixed into 64 bits.
 """
 
 from __future__ import annotations
@@ -39,13 +40,28 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U)
 
 
-_pw = [_powers(_P, 16), _powers(_INV, 16)]
+#: The prime modulus and its base.
+_Q, _R = U((1 << 31) - 1), 1_220_703_125
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pw[0]) < n:
-        _pw[:] = [_powers(_P, 2 * n), _powers(_INV, 2 * n)]
-    return _pw[0], _pw[1]
+def _residues(base: int, n: int) -> np.ndarray:
+    """Powers of base modulo _Q; each half is the one before it times one power."""
+    out, have = np.ones(n, U), 1
+    while have < n:
+        k = min(have, n - have)
+        out[have : have + k] = out[:k] * U(pow(base, have, int(_Q))) % _Q
+        have += k
+    return out
+
+
+_pw: list[np.ndarray] = []
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    if not _pw or len(_pw[0]) < n:
+        n = max(16, 2 * n)
+        _pw[:] = [_powers(_P, n), _powers(_INV, n), _residues(_R, n), _residues(pow(_R, -1, int(_Q)), n)]
+    return _pw
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -89,10 +105,13 @@ class Batch:
 
     def hasher(self):
         """A function of (starts, ends) that gives hashes of those spans of bytes."""
-        pw, inv = _tables(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * pw[: len(self.data)], out=total[1:])
-        return lambda s, e: mix((total[e] - total[s]) * inv[s])
+        n = len(self.data)
+        pw, inv, residue, back = _tables(n + 1)
+        data = self.data.astype(U) + U(1)
+        total, second = np.zeros(n + 1, U), np.zeros(n + 1, U)
+        np.cumsum(data * pw[:n], out=total[1:])
+        np.cumsum(data * residue[:n] % _Q, out=second[1:])  # sums of residues stay under 2**64 for up to 2**33 bytes
+        return lambda s, e: mix((total[e] - total[s]) * inv[s] ^ mix((second[e] - second[s]) % _Q * back[s] % _Q))
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text index of each \\n-split line; an empty text has one empty line."""

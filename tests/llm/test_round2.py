@@ -152,3 +152,132 @@ def test_raw_elements_end_no_page(raw):
 def test_class_words_drop_no_article():
     for c in ("layout with-sidebar", "share-price-story"):
         assert html_wrapper.main_text(f'<body><div class="{c}"><article><p>Long article</p></article></div></body>', None, None) == "Long article"
+
+
+def test_warc_of_odd_ids(spark, tmp_path):
+    from corpusloom.llm import queries, warc
+
+    rows = [(i, f"u{i}", f"<p>{i}\r\n\r\n</p>") for i in [*range(-5000, -4000, 7), -1, 0, 1, 1 << 60, -(1 << 60)]]
+    rows += [(None, "n", str(k % 50)) for k in range(120)] + [(9, "u", "same")] * 40 + [(9, "u", str(k)) for k in range(30)]
+    schema = "page_id long, url string, html string"
+    d = spark.createDataFrame(rows, schema).withColumn("digest", F.lit("clash"))
+    a = warc.records(d)
+    got = a.collect()
+    assert len(got) == len(rows) and len({(r["no"], r["slot"], r["occ"]) for r in got}) == len(rows)
+    by_file = defaultdict(list)
+    for r in got:
+        by_file[r["no"]].append(r)
+    for f in by_file.values():  # offsets follow each other
+        f.sort(key=lambda r: r["pos"])
+        assert [r["pos"] for r in f] == list(range(len(f))) and f[0]["start"] == 0 and all(x["end"] == y["start"] for x, y in zip(f, f[1:]))
+    lost = [(None, "n", "7"), (9, "u", "same"), (9, "u", "12"), (-1, "u-1", "<p>-1\r\n\r\n</p>")]
+    rest = list(rows)
+    for x in lost:
+        rest.remove(x)
+    rest[rest.index((0, "u0", "<p>0\r\n\r\n</p>"))] = (0, "u0", "bad")
+    found = Counter((r["page_id"], r["status"]) for r in warc.findings(a, warc.records(spark.createDataFrame(rest, schema))).collect() if r["status"] in ("missing", "extra", "corrupt"))
+    assert found == Counter({(None, "missing"): 1, (9, "missing"): 2, (-1, "missing"): 1, (0, "corrupt"): 1})
+    warc.write_warc(d, str(tmp_path / "w"), 100)
+    assert Counter(tuple(r) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()) == Counter(rows)
+    with pytest.raises(ValueError):
+        list(warc.parse_warc(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+    with pytest.raises(ValueError):
+        list(warc.parse_warc(b"garbage"))
+    small = spark.createDataFrame([(i, "u", str(i)) for i in range(250)], schema)
+    status = defaultdict(list)
+    for r in warc.findings(warc.records(small), warc.records(queries.damaged(small))).collect():
+        status[r["status"]].append(r["page_id"])
+    assert sorted(status["missing"]) == [7, 218] and sorted(status["corrupt"]) == [5, 102, 199]
+
+
+def test_hashes_of_regular_texts():
+    """The Thue-Morse string and its complement have one hash modulo any power of two."""
+    import pyarrow as pa
+
+    from corpusloom.llm import quality_rules
+    from corpusloom.llm import textbatch as tb
+
+    tm = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    other = tm.translate(str.maketrans("ab", "ba"))
+    (_, _, b), = tb.chunks(pa.array([f"{tm}\n{other}", f"{tm}\n{tm}", "x" * (3 << 20)]).slice(0, 2))
+    assert quality_rules.base_counts(b)["n_dup_lines"].tolist() == [0, 1]
+    long = " ".join(f"w{i}" for i in range(300_000))  # one text of several chunks' size
+    sets = near_dedup.sets_of(pa.array([long, long + " z", None]))
+    assert len(sets[0]) == 299_996 and len(set(sets[1]) - set(sets[0])) == 1 and len(sets[2]) == 0
+
+
+def test_crf_gradient_against_differences():
+    import numpy as np
+
+    from corpusloom.llm import quality_crf
+
+    gen = np.random.default_rng(4)
+    docs = [gen.normal(size=(n, 3)) for n in (1, 2, 5, 4, 1)]
+    labels = [gen.integers(0, 2, len(x)) for x in docs]
+    value = quality_crf.Likelihood(docs, labels)
+    w, t = gen.normal(size=3), gen.normal(size=(2, 2))
+    v, gw, gt = value(w, t)
+    # the value by enumeration
+    import itertools
+
+    def path(x, y):
+        u = x @ w / 2
+        return sum(a if k else -a for a, k in zip(u, y, strict=True)) + sum(t[p, q] for p, q in zip(y, y[1:]))
+
+    brute = sum(path(x, list(y)) - np.log(sum(np.exp(path(x, z)) for z in itertools.product((0, 1), repeat=len(x)))) for x, y in zip(docs, labels, strict=True))
+    assert abs(v - brute) < 1e-9
+    for i in range(3):
+        step = np.eye(3)[i] * 1e-6
+        assert abs((value(w + step, t)[0] - value(w - step, t)[0]) / 2e-6 - gw[i]) < 1e-4
+    for i in range(4):
+        step = np.eye(4)[i].reshape(2, 2) * 1e-6
+        assert abs((value(w, t + step)[0] - value(w, t - step)[0]) / 2e-6 - gt.ravel()[i]) < 1e-4
+
+
+def test_crf_learns_changes_inside_a_document():
+    import numpy as np
+
+    from corpusloom.llm import quality_crf
+
+    gen = np.random.default_rng(5)
+    docs, y = [], []
+    for i in range(60):
+        bad = i % 2
+        x = gen.normal(scale=0.3, size=(15, 2))
+        x[:, 0] += 1
+        if bad:
+            x[1:, 0] -= 2  # a good head, then junk
+        docs.append(x.astype(np.float32))
+        y.append(1 - bad)
+    w, t = quality_crf.train(docs, np.array(y))
+    p = quality_crf.marginals(docs[1], np.zeros(15, int), w, t)
+    assert p[0] > 0.5 and p[14] < 0.1
+
+
+def test_best_fit_of_counts_is_best_fit_of_pieces():
+    """Packing by counts gives the bins that packing piece by piece gives."""
+    from corpusloom.llm import packing
+
+    rng = random.Random(11)
+    for _ in range(100):
+        counts = {rng.randint(1, 64): rng.randint(1, 12) for _ in range(rng.randint(1, 14))}
+        left, bins = dict(counts), []  # a bin is [capacity, room, lengths]
+        for size in sorted(counts, reverse=True):
+            for _ in range(counts[size]):
+                fits = [b for b in bins if b[1] >= size]
+                if fits:
+                    b = min(fits, key=lambda b: b[1])
+                else:
+                    lengths = sorted(n for n in left if left[n])
+                    b = [min((c for c in (16, 32, 64) if c >= size), key=lambda c: (c * (1 + c / 8192) / packing.foreseen(c, size, lengths, left), c)), 0, []]
+                    b[1] = b[0]
+                    bins.append(b)
+                b[1] -= size
+                b[2].append(size)
+            left[size] = 0
+        placed, got = packing.pack_counts(counts, (16, 32, 64))
+        made = sum(n for _, n, _ in got)
+        assert sum(e * n * z for z, _, _, n, e, _ in placed) == sum(n * c for n, c in counts.items())
+        cost = sum(n * c for _, n, c in got)
+        want = sum(next(c for c in (16, 32, 64) if c >= b[0] - b[1]) for b in bins)
+        assert made <= len(bins) * 1.1 + 1 and cost <= want * 1.1 + 16
