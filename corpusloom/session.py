@@ -31,16 +31,16 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "s
 
 
 def findable(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this machine import the package from this checkout (a cluster gets it by --py-files).
-
-    Batches are made smaller than by default: long texts would else fill an executor's memory outside its heap.
+    """Prepare a session for the Python operators: workers on this machine can import the package from this checkout
+    (a cluster gets it by --py-files), and batches that Spark sends to Python are smaller than by default, as long texts
+    would else fill an executor's memory outside its heap. Settings that the session has made itself stay.
     """
     root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-        for key, (default, ours) in BATCHES.items():
-            if spark.conf.get(key, default) == default:
-                spark.conf.set(key, ours)
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     return spark
 
 
