@@ -87,11 +87,11 @@ def _without_banners(text: str, least: int = 6, rounds: int = 5) -> tuple[str, s
 
 
 def _unquoted(t: str) -> str:
-    """Closing quotes at the end that have no partner away."""
-    t = t.strip()
-    for close, open_ in (("”", "„"), ("»", "«")):
-        while t.endswith(close) and t.count(close) > t.count(open_):
-            t = t[:-1].rstrip()
+    """Closing quotes at the end away, as many as have no partner."""
+    for pair in ("„”", "«»"):
+        surplus = t.count(pair[1]) - t.count(pair[0])
+        if surplus > 0:
+            t = re.sub(rf"(?:{pair[1]}\s*){{1,{surplus}}}\Z", "", t.strip())
     return t.strip()
 
 
@@ -123,7 +123,7 @@ def article(d: DataFrame) -> DataFrame:
 
 def external(s: DataFrame, suffixes: list[str], drops: list[str], low: int = 7, high: int = 54) -> DataFrame:
     """Suffixes cut, sentences with a drop pattern emptied, then the length rule: `cleaned` and `action`."""
-    cut = F.regexp_replace("sentence", X.any_of(suffixes), "")
+    cut = F.regexp_replace("sentence", "(?i)" + X.any_of(suffixes), "")
     bad = F.lower("sentence").rlike(X.any_of(drops))
     out = s.withColumn("cleaned", F.when(bad, "").otherwise(F.trim(cut)))
     n = X.n_words(F.col("cleaned"))
@@ -185,6 +185,13 @@ def article_body(t: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, "[ \\t]+", " "), "\\n{3,}", "\n\n"))
 
 
+def promoted(rows: DataFrame) -> DataFrame:
+    """rows (level, title, story, ...): suspects become `excelenta`, fallbacks go; `rebuilt` is the text of those found contaminated."""
+    text = F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("story", F.lit(""))))
+    out = rows.where("level <> 'fallback_verificare_manuala'").withColumn("rebuilt", F.when(F.col("level") == "suspect_contaminare", text).otherwise(""))
+    return out.withColumn("level", F.when(F.col("level").startswith("suspect"), "excelenta").otherwise(F.col("level")))
+
+
 def dominance(a: Column, b: Column) -> Column:
     """Which of two topics an article is about, by matches."""
     return F.when(b == 0, "keep").when(a >= b, "keep_a_dominant").otherwise("drop_b_dominant")
@@ -199,10 +206,11 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     w = X.words(F.col("text"))
     gram = lambda a, i: F.array_join(F.slice(a, i, 5), " ")
     items = items.where(F.length("text") > 0).select("item_id", F.col("text").alias("item"), w.alias("w"))
-    anchors = items.where(F.size("w") >= 7).select("item_id", "item", F.xxhash64(gram(F.col("w"), 2)).alias("g"))
-    grams = docs.select("doc_id", "text", w.alias("w")).where(F.size("w") >= 5)
-    grams = grams.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(gram(F.col("w"), i))))).alias("g"))
-    long = grams.join(anchors, "g").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    anchors = items.where(F.size("w") >= 7).select("item_id", F.xxhash64(gram(F.col("w"), 2)).alias("g"))
+    grams = docs.select("doc_id", w.alias("w")).where(F.size("w") >= 5)
+    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(gram(F.col("w"), i))))).alias("g"))
+    maybe = grams.join(anchors, "g").select("doc_id", "item_id").distinct()  # texts come only to these few pairs
+    long = docs.join(maybe, "doc_id").join(items.select("item_id", "item"), "item_id").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
     short = docs.join(items.where(F.size("w") < 7), F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
     return long.unionByName(short).distinct()
 

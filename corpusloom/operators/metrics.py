@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scoring import ratio
+from corpusloom.operators.ranks import below
 
 
 def confusion(rows: DataFrame, *by: str) -> DataFrame:
@@ -29,11 +30,10 @@ def average_rank(value: str, *by: str) -> Column:
 def auc(rows: DataFrame, *by: str) -> DataFrame:
     """Area under the ROC curve of `score` for label y, by rank sums over distinct values (ties averaged).
 
-    Rows are first counted by value, so the window sees one row per distinct score and group.
+    Rows are first counted by value, and running sums go by slices of the values (operators.ranks).
     """
     n = rows.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).cast("double").alias("n1"), F.count_if(F.col("y") == 0).cast("double").alias("n0"))
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    wins = n.withColumn("b", F.coalesce(F.sum("n0").over(below), F.lit(0.0)))
+    wins = below(n, list(by), "score", {"b": "n0"})
     g = wins.groupBy(*by).agg(F.sum(F.col("n1") * (F.col("b") + F.col("n0") / 2)).alias("u"), F.sum("n1").alias("p"), F.sum("n0").alias("q"))
     return g.select(*by, F.try_divide(F.col("u"), F.col("p") * F.col("q")).alias("auc"))
 
@@ -51,9 +51,10 @@ def cohen_d(rows: DataFrame, *by: str, sample: bool = True) -> DataFrame:
 def ks(rows: DataFrame, *by: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of `score` between labels."""
     n = rows.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).cast("double").alias("n1"), F.count_if(F.col("y") == 0).cast("double").alias("n0"))
-    upto = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    gap = F.abs(F.sum("n1").over(upto) / F.sum("n1").over(whole) - F.sum("n0").over(upto) / F.sum("n0").over(whole))
+    n = below(n, list(by), "score", {"c1": "n1", "c0": "n0"}, upto=True)
+    all_ = n.groupBy(*by).agg(F.sum("n1").alias("a1"), F.sum("n0").alias("a0"))
+    n = n.join(F.broadcast(all_), list(by)) if by else n.crossJoin(F.broadcast(all_))
+    gap = F.abs(F.try_divide(F.col("c1"), F.col("a1")) - F.try_divide(F.col("c0"), F.col("a0")))
     return n.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 

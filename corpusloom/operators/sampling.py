@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranks import numbered
+
 
 def drawn(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
@@ -20,18 +22,20 @@ def downsample(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return rows.orderBy(drawn(key, seed), key).limit(n)
 
 
+def by_draw(rows: DataFrame, strata: list[str], key: str, seed: int = 42) -> DataFrame:
+    """rows with `rank` within strata in drawn order and `total`: counted by the draw's first digits, so a stratum is no task."""
+    out = rows.withColumn("_drawn", drawn(key, seed))
+    return numbered(out, strata, F.substring("_drawn", 1, 3), [F.col("_drawn"), F.col(key)]).drop("_drawn")
+
+
 def folds(rows: DataFrame, strata: list[str], k: int, key: str, seed: int = 42) -> DataFrame:
     """Fold 0..k-1 of each row, even within strata."""
-    w = Window.partitionBy(*strata).orderBy(drawn(key, seed), key)
-    return rows.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    return by_draw(rows, strata, key, seed).withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank", "total")
 
 
 def split(rows: DataFrame, strata: list[str], key: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
     """`part` train, val or test by rank within the stratum."""
-    w = Window.partitionBy(*strata)
-    r = F.row_number().over(w.orderBy(drawn(key, seed), key))
-    n = F.count("*").over(w)
-    out = rows.withColumn("_r", r).withColumn("_n", n)
+    out = by_draw(rows, strata, key, seed).withColumnsRenamed({"rank": "_r", "total": "_n"})
     part = F.when(F.col("_r") <= F.floor(F.col("_n") * train + 0.5), "train").when(F.col("_r") <= F.floor(F.col("_n") * train + 0.5) + F.floor(F.col("_n") * val + 0.5), "val").otherwise("test")
     return out.withColumn("part", part).drop("_r", "_n")
 

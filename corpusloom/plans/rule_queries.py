@@ -9,7 +9,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import clean, html
 from corpusloom.operators import metrics as M
 from corpusloom.plans.score_queries import PRED, predictions
-from corpusloom.plans.text_queries import _N, SENTENCES, docs_of, sents
+from corpusloom.plans.text_queries import _N, _PLAIN, SENTENCES, docs_of, sents
 from corpusloom.registry import query
 from corpusloom.session import table
 
@@ -55,9 +55,10 @@ def temporal_drops(spark, sf_dir):
     return o.where(~((F.year("o_orderdate") == 1995) | (F.date_format("o_orderdate", "yyyy-MM") == "1996-03"))).select("o_orderkey", F.year("o_orderdate").alias("y"))
 
 
-@query(f"""with t as (select doc_id, trim(case when doc_id % 4 = 0 then 'Propaganda: ' when doc_id % 4 = 1 then 'Fals: ' else '' end || substr(text, 1, 60)) as t from documents), a as (select *, trim(regexp_replace(t, '(?i){P.CUT_TITLES}', '')) as cut from t),
+@query(f"""with h as (select page_id, {_PLAIN.format("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} as h1, {_PLAIN.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} as e from pages),
+t as (select page_id, trim(case when page_id % 4 = 0 then 'Propaganda: ' when page_id % 4 = 1 then 'Fals: ' else '' end || coalesce(nullif(h1, ''), e)) as t from h), a as (select *, trim(regexp_replace(t, '(?i){P.CUT_TITLES}', '')) as cut from t),
 b as (select *, case when t = '' or regexp_matches(lower(t), '{P.EXCLUDED_TITLES}') then 'exclude' when regexp_matches(lower(t), '{P.CUT_TITLES}') then case when cut = '' then 'exclude' else 'prefix_taiat' end else 'ok' end as action from a)
-select doc_id, action, case when action = 'exclude' then '' else cut end as title from b""")
+select page_id, action, case when action = 'exclude' then '' else cut end as title from b""")
 def title_actions(spark, sf_dir):
     """Whole titles of pages, some with a prefix put in, cleaned."""
     t = F.concat(F.when(F.col("page_id") % 4 == 0, "Propaganda: ").when(F.col("page_id") % 4 == 1, "Fals: ").otherwise(""), html.title(F.col("html")))
@@ -76,7 +77,7 @@ _EXT = "|".join(f"(?:{p})" for p in P.COOKIE_TAILS)
 _EXD = "|".join(f"(?:{p})" for p in P.EXTERNAL_DROPS)
 
 
-@query(f"""with {SENTENCES}, t as (select doc_id, pos, case when pos % 4 = 0 then sentence || ' {_TAIL}' when pos % 9 = 1 then 'Acest comentariu a fost moderat ' || sentence else sentence end as s from sentences), c as (select *, regexp_matches(lower(s), '{_EXD}') as bad, trim(regexp_replace(s, '{_EXT}', '', 'g')) as cut from t),
+@query(f"""with {SENTENCES}, t as (select doc_id, pos, case when pos % 4 = 0 then sentence || ' {_TAIL}' when pos % 9 = 1 then 'Acest comentariu a fost moderat ' || sentence else sentence end as s from sentences), c as (select *, regexp_matches(lower(s), '{_EXD}') as bad, trim(regexp_replace(s, '(?i){_EXT}', '', 'g')) as cut from t),
 d as (select *, case when bad then '' else cut end as cleaned from c) select doc_id, pos::int as pos, cleaned, case when bad then 'dropped' when {_N.format("cleaned")} not between 7 and 54 then 'length' when cleaned <> trim(s) then 'cut' else 'same' end as action from d""")
 def external_cleaning(spark, sf_dir):
     s = F.col("sentence")
@@ -158,3 +159,38 @@ def mentions(spark, sf_dir):
     t = F.col("text")
     seeds = F.array_join(F.from_json(X.seeds_in(t, ["the", "und", "que"]), "array<string>"), ",")
     return docs_of(spark, sf_dir).select("doc_id", F.lower(t).rlike(P.FLANK).alias("flank"), seeds.alias("seeds"))
+
+
+_COMPILED = "|".join(f"(?:{p})" for p in P.COMPILATIONS)
+
+
+@query(f"""with t as (select doc_id, case doc_id % 5 when 0 then 'Cronica dezinformării: ' when 1 then 'Falsuri în contextul ' else '' end || lang as title from documents) select doc_id, title from t where not regexp_matches(lower(title), '{_COMPILED}')""")
+def compilation_titles(spark, sf_dir):
+    """Articles without those whose title names a compilation (titles put together here)."""
+    i = F.col("doc_id") % 5
+    t = F.concat(F.when(i == 0, "Cronica dezinformării: ").when(i == 1, "Falsuri în contextul ").otherwise(""), F.col("lang"))
+    return docs_of(spark, sf_dir).select("doc_id", t.alias("title")).where(~F.lower("title").rlike(_COMPILED))
+
+
+_LEVEL = "case doc_id % 5 when 0 then 'suspect_dimensiune' when 1 then 'suspect_contaminare' when 2 then 'fallback_verificare_manuala' when 3 then 'excelenta' else 'buna' end"
+
+
+@query(f"""with q as (select doc_id, {_LEVEL} as level, lang as title, text as story from documents)
+select doc_id, case when level like 'suspect%' then 'excelenta' else level end as level, md5(case when level = 'suspect_contaminare' then trim(coalesce(title, '') || ' ' || coalesce(story, '')) else '' end) as rebuilt from q where level <> 'fallback_verificare_manuala'""")
+def quality_promotion(spark, sf_dir):
+    """Suspects promoted (a contaminated one gets its text back from title and story), unverified fallbacks dropped."""
+    i = F.col("doc_id") % 5
+    level = F.when(i == 0, "suspect_dimensiune").when(i == 1, "suspect_contaminare").when(i == 2, "fallback_verificare_manuala").when(i == 3, "excelenta").otherwise("buna")
+    d = docs_of(spark, sf_dir).select("doc_id", level.alias("level"), F.col("lang").alias("title"), F.col("text").alias("story"))
+    return clean.promoted(d).select("doc_id", "level", F.md5("rebuilt").alias("rebuilt"))
+
+
+@query(f"""with d as (select doc_id, regexp_replace(case doc_id % 3 when 0 then 'FAKE NEWS: ' when 1 then 'Propaganda - ' else '' end || text, '{P.LABEL_PREFIX}', '') as cleaned, doc_id % 4 = 0 as about from documents),
+t as (select doc_id, cleaned || case when about then ' Kremlin' else '' end as t from d) select doc_id, md5(t) as cleaned, regexp_matches(t, '{P.LABEL_PREFIX}') as still_prefixed from t where regexp_matches(lower(t), '{"|".join(f"(?:{x})" for x in [*P.CORE_TOPICS.values(), *P.HYBRID_TOPICS.values()])}')""")
+def offtopic_drop(spark, sf_dir):
+    """Label prefixes cut and looked for again, then articles on none of the topics dropped."""
+    i = F.col("doc_id")
+    t = F.concat(F.when(i % 3 == 0, "FAKE NEWS: ").when(i % 3 == 1, "Propaganda - ").otherwise(""), F.col("text"))
+    t = F.concat(F.regexp_replace(t, P.LABEL_PREFIX, ""), F.when(i % 4 == 0, " Kremlin").otherwise(""))
+    d = docs_of(spark, sf_dir).select("doc_id", t.alias("t"))
+    return d.where(F.lower("t").rlike(X.any_of([*P.CORE_TOPICS.values(), *P.HYBRID_TOPICS.values()]))).select("doc_id", F.md5("t").alias("cleaned"), F.col("t").rlike(P.LABEL_PREFIX).alias("still_prefixed"))

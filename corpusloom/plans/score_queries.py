@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as X
 from corpusloom.operators import metrics as M
-from corpusloom.operators import sampling, similarity
+from corpusloom.operators import ranks, sampling, similarity
 from corpusloom.registry import query
 from corpusloom.session import table
 
@@ -21,19 +21,18 @@ def r6(*cols: str):
 
 PAIRS = """p as (select q.vec_id as qid, c.vec_id as cid, (c.label >= 5)::int as cls, list_dot_product(q.embedding::double[], c.embedding::double[]) as score from embeddings q join embeddings c on q.vec_id % 10 = 0 and c.vec_id % 10 <> 0)"""
 BEST = PAIRS + """, b as (select qid, max(score) filter (cls = 0) as s0, max(score) filter (cls = 1) as s1 from p group by qid),
-art as (select (qid // 10) % 25 as article, count(*) as n, avg(s0) as s0_mean, avg(s1) as s1_mean, avg(s1) - avg(s0) as diff_mean, min(s0) as s0_min, min(s1) as s1_min, quantile_cont(s0, 0.1) as s0_p10, quantile_cont(s1, 0.1) as s1_p10 from b group by 1)"""
+art as (select (qid // 10) % 25 as article, count(*) as n, avg(s0) as s0_mean, avg(s1) as s1_mean, avg(s1) - avg(s0) as diff_mean, min(s0) as s0_min, min(s1) as s1_min, quantile_cont(s0, 0.1) as s0_p10, quantile_cont(s1, 0.1) as s1_p10, min(s1) - min(s0) as diff_min, quantile_cont(s1, 0.1) - quantile_cont(s0, 0.1) as diff_p10 from b group by 1)"""
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    c = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("cid"), F.col("embedding").alias("c"), (F.col("label") >= 5).cast("int").alias("cls"))
-    return similarity.pairs(q, c)
+    return q, e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("cid"), F.col("embedding").alias("c"), (F.col("label") >= 5).cast("int").alias("cls"))
 
 
 def best_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """s0 and s1 of each sentence: conditional maxima, so one hash aggregate with partial maxima."""
-    p = scored_pairs(spark, sf_dir)
+    """s0 and s1 of each sentence: its best match in either corpus."""
+    p = similarity.top_k_blocked(*sides(spark, sf_dir), 1, "cls")
     return p.groupBy("qid").agg(F.max(F.when(F.col("cls") == 0, F.col("score"))).alias("s0"), F.max(F.when(F.col("cls") == 1, F.col("score"))).alias("s1"))
 
 
@@ -43,28 +42,29 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"), F.avg("s0").alias("s0_mean"), F.avg("s1").alias("s1_mean"), (F.avg("s1") - F.avg("s0")).alias("diff_mean"),
         F.min("s0").alias("s0_min"), F.min("s1").alias("s1_min"), F.percentile("s0", F.lit(0.1)).alias("s0_p10"), F.percentile("s1", F.lit(0.1)).alias("s1_p10"),
     )
-    return g
+    return g.withColumns({"diff_min": F.col("s1_min") - F.col("s0_min"), "diff_p10": F.col("s1_p10") - F.col("s0_p10")})
 
 
 @query(f"with {PAIRS} select qid, round(max(score), 6) as score, arg_max(cid, (score, -cid)) as cid from p group by qid")
 def top1_similarity(spark, sf_dir):
-    return similarity.top1(scored_pairs(spark, sf_dir), "qid").select("qid", *r6("score"), "cid")
+    q, c = sides(spark, sf_dir)
+    return similarity.top_k_blocked(q, c.drop("cls"), 1).select("qid", *r6("score"), "cid")
 
 
 @query(f"with {PAIRS} select qid, cls, round(max(score), 6) as score, arg_max(cid, (score, -cid)) as cid from p group by qid, cls")
 def top1_by_label(spark, sf_dir):
-    return similarity.top1(scored_pairs(spark, sf_dir), "qid", "cls").select("qid", "cls", *r6("score"), "cid")
+    return similarity.top_k_blocked(*sides(spark, sf_dir), 1, "cls").select("qid", "cls", *r6("score"), "cid")
 
 
 @query(f"with {PAIRS}, r as (select *, row_number() over (partition by qid, cls order by score desc, cid) as rk from p) select qid, cls, round(avg(score), 6) as score from r where rk <= 5 group by qid, cls")
 def topk_mean_similarity(spark, sf_dir):
-    return similarity.top_k(scored_pairs(spark, sf_dir), 5, "qid", "cls").groupBy("qid", "cls").agg(F.avg("score").alias("score")).select("qid", "cls", *r6("score"))
+    return similarity.top_k_blocked(*sides(spark, sf_dir), 5, "cls").groupBy("qid", "cls").agg(F.avg("score").alias("score")).select("qid", "cls", *r6("score"))
 
 
 @query(f"with {BEST}, r as (select qid, (qid // 10) % 25 as article, s1, row_number() over (partition by (qid // 10) % 25 order by s1 desc, qid) as rk from b), m as (select qid, cls, arg_max(cid, (score, -cid)) as cid from p group by qid, cls) select article, rk::int as rk, r.qid, round(s1, 6) as s1, m.cid, e.label from r join m on m.qid = r.qid and m.cls = 1 join embeddings e on e.vec_id = m.cid where rk <= 3")
 def top3_matches(spark, sf_dir):
     """The three sentences of each article closest to class 1, with the matched row's attributes joined back."""
-    b = similarity.top1(scored_pairs(spark, sf_dir), "qid", "cls").where("cls = 1").withColumn("article", F.floor(F.col("qid") / 10) % 25)
+    b = similarity.top_k_blocked(*sides(spark, sf_dir), 1, "cls").where("cls = 1").withColumn("article", F.floor(F.col("qid") / 10) % 25)
     w = Window.partitionBy("article").orderBy(F.desc("score"), "qid")
     top = b.withColumn("rk", F.row_number().over(w)).where("rk <= 3")
     src = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cid"), "label")
@@ -73,13 +73,11 @@ def top3_matches(spark, sf_dir):
 
 @query(f"with {PAIRS}, r as (select qid, cid, score, row_number() over (partition by qid order by score desc, cid) as rk from p) select qid, cid, round(score, 6) as score from r where rk <= 3")
 def blocked_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    c = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("cid"), F.col("embedding").alias("c"))
-    return similarity.top_k_blocked(q, c, 3).select("qid", "cid", *r6("score"))
+    q, c = sides(spark, sf_dir)
+    return similarity.top_k_blocked(q, c.drop("cls"), 3).select("qid", "cid", *r6("score"))
 
 
-_A = ("s0_mean", "s1_mean", "diff_mean", "s0_min", "s1_min", "s0_p10", "s1_p10")
+_A = ("s0_mean", "s1_mean", "diff_mean", "s0_min", "s1_min", "diff_min", "s0_p10", "s1_p10", "diff_p10")
 
 
 @query(f"with {BEST} select article, n, {', '.join(f'round({c}, 6) as {c}' for c in _A)}, (diff_mean > -0.0073)::int as pred from art")
@@ -194,7 +192,7 @@ def mann_whitney(spark, sf_dir):
     """U of class 1 and its normal approximation (no tie correction)."""
     p = predictions(spark, sf_dir)
     n = p.groupBy("score").agg(F.count_if(F.col("y") == 1).cast("double").alias("a"), F.count_if(F.col("y") == 0).cast("double").alias("b"))
-    n = n.withColumn("below", F.coalesce(F.sum("b").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    n = ranks.below(n, [], "score", {"below": "b"})
     s = n.agg(F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n0"))
     return s.select(F.round("u", 6).alias("u"), F.round((F.col("u") - F.col("n1") * F.col("n0") / 2) / F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12), 6).alias("z"))
 
@@ -204,8 +202,8 @@ select round(sum(r) filter (d > 0), 6) as w_plus, round(sum(r) filter (d < 0), 6
 def wilcoxon(spark, sf_dir):
     x = predictions(spark, sf_dir).select((F.col("score") - (F.col("doc_id") % 7) / F.lit(2.0)).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
     n = x.groupBy("m").agg(F.count_if(F.col("d") > 0).alias("p"), F.count_if(F.col("d") < 0).alias("q"))
-    before = F.coalesce(F.sum(F.col("p") + F.col("q")).over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = n.withColumn("r", before + (F.col("p") + F.col("q") + 1) / F.lit(2.0))
+    n = ranks.below(n.withColumn("_t", F.col("p") + F.col("q")), [], "m", {"_before": "_t"})
+    n = n.withColumn("r", F.col("_before") + (F.col("p") + F.col("q") + 1) / F.lit(2.0))
     return n.agg(F.round(F.sum(F.col("p") * F.col("r")), 6).alias("w_plus"), F.round(F.sum(F.col("q") * F.col("r")), 6).alias("w_minus"), F.sum(F.col("p") + F.col("q")).alias("n"))
 
 
@@ -222,10 +220,23 @@ def grid(rows: DataFrame, *by: str, points: int = 200) -> DataFrame:
 
 
 def curve(rows: DataFrame, taus: DataFrame, *by: str) -> DataFrame:
-    """Confusion counts at each threshold. The grid has a fixed number of rows per group, so it is the broadcast side."""
-    on = F.broadcast(taus)
-    j = rows.join(on, list(by)) if by else rows.crossJoin(on)
-    return M.confusion(j.withColumn("pred", (F.col("score") > F.col("tau")).cast("int")), *by, "i", "tau")
+    """Confusion counts at each threshold of an ascending grid.
+
+    A row goes once to a cell, the number of thresholds under its score; cells are summed within tasks, and running sums over
+    the cells (a fixed number for each group) give the counts. The grid is one array per group, so it is the broadcast side.
+    """
+    lists = taus.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "tau"))).alias("g"))
+    j = rows.join(F.broadcast(lists), list(by)) if by else rows.crossJoin(F.broadcast(lists))
+    cell = F.size(F.filter("g", lambda x: x["tau"] < F.col("score")))
+    n = j.groupBy(*by, cell.alias("cell")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    w = Window.partitionBy(*by)
+    grid_ = taus.select(*by, "i", "tau", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.col("i").alias("cell"), F.lit(1).alias("is_grid"))
+    both = grid_.unionByName(n.select(*by, F.lit(None).cast("int").alias("i"), F.lit(None).cast("double").alias("tau"), "p", "q", "cell", F.lit(0).alias("is_grid")))
+    # a row passes threshold i if more than i thresholds are under its score
+    low = lambda c: F.sum(c).over(w.orderBy("cell", "is_grid").rowsBetween(Window.unboundedPreceding, 0))
+    all_ = lambda c: F.sum(c).over(w)
+    out = both.withColumns({"fn": low("p"), "tn": low("q"), "p1": all_("p"), "q1": all_("q")}).where("is_grid = 1")
+    return out.select(*by, "i", "tau", (F.col("p1") - F.col("fn")).alias("tp"), (F.col("q1") - F.col("tn")).alias("fp"), "fn", "tn")
 
 
 @query(f"with {PRED}, {_GRID.format(t='d')}, c as (select i, tau, count(*) filter (y = 1 and score > tau) as tp, count(*) filter (y = 0 and score > tau) as fp, count(*) filter (y = 1 and score <= tau) as fn from d, g group by i, tau) select i::int as i, round(tau, 6) as tau, tp, fp, fn, round({_F1}, 6) as f1 from c")
@@ -250,13 +261,31 @@ b as (select k, tau from (select *, row_number() over (partition by k order by {
 e as (select b.k, b.tau, count(*) filter (y = 1 and score > tau) as tp, count(*) filter (y = 0 and score > tau) as fp, count(*) filter (y = 1 and score <= tau) as fn, count(*) filter (y = 0 and score <= tau) as tn from f join b on f.fold = b.k group by b.k, b.tau)
 select k::int as fold, round(tau, 6) as tau, tp, fp, fn, tn, {_RATES} from e""")
 def threshold_cv(spark, sf_dir):
+    return threshold_folds(spark, sf_dir).select("fold", *r6("tau"), "tp", "fp", "fn", "tn", *r6(*_RATE))
+
+
+def threshold_folds(spark, sf_dir):
     """Five stratified folds: the best threshold of four, judged on the fifth."""
     f = sampling.folds(predictions(spark, sf_dir), ["y"], 5, "doc_id")
     train = f.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("fold <> k").select("k", "y", "score")
     c = M.rates(curve(train, grid(train, "k"), "k"))
     best = c.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("f1"), "i"))).where("rn = 1").select(F.col("k").alias("fold"), "tau")
     e = f.join(F.broadcast(best), "fold").withColumn("pred", (F.col("score") > F.col("tau")).cast("int"))
-    return M.rates(M.confusion(e, "fold", "tau")).select("fold", *r6("tau"), "tp", "fp", "fn", "tn", *r6(*_RATE))
+    return M.rates(M.confusion(e, "fold", "tau"))
+
+
+_CV = f"""with {PRED}, {_FOLD}, g as (select k, i, lo + i * (hi - lo) / 199.0::double as tau from (select k, min(score) as lo, max(score) as hi from tr group by k) l, generate_series(0, 199) s(i)),
+c as (select tr.k, i, tau, count(*) filter (y = 1 and score > tau) as tp, count(*) filter (y = 0 and score > tau) as fp, count(*) filter (y = 1 and score <= tau) as fn from tr join g on g.k = tr.k group by tr.k, i, tau),
+b as (select k, tau from (select *, row_number() over (partition by k order by {_F1} desc, i) as rn from c) where rn = 1),
+e as (select b.k, b.tau, count(*) filter (y = 1 and score > tau) as tp, count(*) filter (y = 0 and score > tau) as fp, count(*) filter (y = 1 and score <= tau) as fn, count(*) filter (y = 0 and score <= tau) as tn from f join b on f.fold = b.k group by b.k, b.tau)
+x as (select k, tau, {_RATES} from e)"""
+
+
+@query(_CV + " select round(avg(tau), 6) as tau_mean, round(stddev_samp(tau), 6) as tau_std, round(avg(f1), 5) as f1_mean, round(stddev_samp(f1), 5) as f1_std, count(*) as folds from x")
+def threshold_cv_summary(spark, sf_dir):
+    """The calibrated threshold: mean and standard deviation (ddof 1) over folds, and of the F1 that it gets."""
+    t = threshold_folds(spark, sf_dir)
+    return t.agg(F.round(F.avg("tau"), 6).alias("tau_mean"), F.round(F.stddev_samp("tau"), 6).alias("tau_std"), F.round(F.avg("f1"), 5).alias("f1_mean"), F.round(F.stddev_samp("f1"), 5).alias("f1_std"), F.count("*").alias("folds"))
 
 
 # ---- experiments

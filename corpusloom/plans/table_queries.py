@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import dedup, html, sampling
+from corpusloom.operators import dedup, html, ranks, sampling
+from corpusloom.plans.text_queries import _PLAIN, _drop_sql
 from corpusloom.registry import query
 from corpusloom.session import table
 
 _MD5 = "md5('42|' || doc_id)"
+_VISIBLE = _PLAIN.format(_drop_sql("html"))
 
 
 # ---- sampling
@@ -33,10 +35,12 @@ def hash_downsample(spark, sf_dir):
     return sampling.downsample(table(spark, sf_dir, "documents").select("doc_id"), 100, "doc_id")
 
 
-@query(f"""with s as (select doc_id, quality, row_number() over (partition by quality order by {_MD5}, doc_id) as r, count(*) over (partition by quality) as n from labels)
-select doc_id, quality, case when r <= floor(n * 0.7::double + 0.5) then 'train' when r <= floor(n * 0.7::double + 0.5) + floor(n * 0.15::double + 0.5) then 'val' else 'test' end as part from s""")
+@query(f"""with s as (select doc_id, quality, source, row_number() over (partition by quality, source order by {_MD5}, doc_id) as r, count(*) over (partition by quality, source) as n from labels join documents using (doc_id))
+select doc_id, quality, source, case when r <= floor(n * 0.7::double + 0.5) then 'train' when r <= floor(n * 0.7::double + 0.5) + floor(n * 0.15::double + 0.5) then 'val' else 'test' end as part from s""")
 def split_70_15_15(spark, sf_dir):
-    return sampling.split(table(spark, sf_dir, "labels").select("doc_id", "quality"), ["quality"], "doc_id")
+    """Train, validation and test rows, even within label and source."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return sampling.split(rows, ["quality", "source"], "doc_id")
 
 
 @query(f"""with b as (select doc_id, n_chars, case when n_chars < 200 then 'a' when n_chars < 600 then 'b' when n_chars < 1200 then 'c' when n_chars < 2400 then 'd' else 'e' end as bucket from documents)
@@ -73,15 +77,15 @@ def month_quota(spark, sf_dir):
 @query("select doc_id, lang, n_chars, pos from (select doc_id, lang, n_chars, row_number() over (partition by lang order by n_chars, doc_id) as r, count(*) over (partition by lang) as n from documents) join (values ('first'), ('middle'), ('last')) v(pos) on r = case pos when 'first' then 1 when 'middle' then n // 2 + 1 else n end")
 def group_picks(spark, sf_dir):
     """First, middle and last row of each group by a score."""
-    w = Window.partitionBy("lang")
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").withColumn("r", F.row_number().over(w.orderBy("n_chars", "doc_id"))).withColumn("n", F.count("*").over(w))
+    d = ranks.numbered(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), ["lang"], F.floor(F.col("n_chars") / 16), [F.col("n_chars"), F.col("doc_id")])
+    d = d.withColumnRenamed("rank", "r").withColumnRenamed("total", "n")
     at = {"first": F.lit(1), "middle": F.floor(F.col("n") / 2) + 1, "last": F.col("n")}
     return d.withColumn("pos", F.explode(F.filter(F.array(*[F.when(F.col("r") == v, F.lit(k)) for k, v in at.items()]), lambda x: x.isNotNull()))).select("doc_id", "lang", "n_chars", "pos")
 
 
 # ---- set operations
 
-@query("""with u as (select doc_id, text, 0 as priority from documents where doc_id % 2 = 0 union all select doc_id, text, 1 from documents where doc_id % 3 = 0 union all select item_id, text, 2 from benchmark)
+@query(f"""with u as (select doc_id, text, 0 as priority from documents union all select item_id, text, 1 from benchmark union all select page_id, {_VISIBLE}, 2 from pages)
 select doc_id, priority, sha1(text) as key from (select *, row_number() over (partition by sha1(text) order by priority, doc_id) as rn from u) where rn = 1""")
 def merge_priority_dedup(spark, sf_dir):
     """Whole tables merged: of equal texts the one of the first table (documents, benchmark, pages) and least id."""
@@ -128,17 +132,17 @@ def left_join_complete(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(x, "doc_id", "left").withColumn("missing", F.col("_seen").isNull()).drop("_seen")
 
 
-@query("select 'ord_' || lpad((row_number() over (order by o_orderdate nulls last, o_orderkey) - 1)::varchar, 6, '0') as new_id, o_orderkey from orders where o_orderstatus = 'P'")
+@query("select 'ord_' || lpad((row_number() over (order by o_orderdate nulls last, o_orderkey) - 1)::varchar, 6, '0') as new_id, o_orderkey from orders ")
 def stable_ids(spark, sf_dir):
-    """Numbered ids in date order. The order is total, so the window has one partition: for report-sized inputs."""
-    w = Window.orderBy(F.col("o_orderdate").asc_nulls_last(), "o_orderkey")
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate")
-    return o.select(F.concat(F.lit("ord_"), F.lpad((F.row_number().over(w) - 1).cast("string"), 6, "0")).alias("new_id"), "o_orderkey")
+    """Numbered ids in date order, over all orders: ranks are counted by day, so no window has more than a day's rows."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").withColumn("day", F.to_date("o_orderdate"))
+    o = ranks.numbered(o, [], F.col("day"), [F.col("o_orderdate").asc_nulls_last(), F.col("o_orderkey")])
+    return o.select(F.concat(F.lit("ord_"), F.lpad((F.col("rank") - 1).cast("string"), 6, "0")).alias("new_id"), "o_orderkey")
 
 
 # ---- coverage and cross tables
 
-@query("""with c as (select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events where event_type = 'error' and user_id % 40 = 1 group by 1), d as (select strftime(x, '%Y-%m-%d') as day from generate_series((select min(date_trunc('day', ts)) from events), (select max(date_trunc('day', ts)) from events), interval 1 day) t(x))
+@query("""with c as (select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events where event_type = 'error' group by 1), d as (select strftime(x, '%Y-%m-%d') as day from generate_series((select min(date_trunc('day', ts)) from events), (select max(date_trunc('day', ts)) from events), interval 1 day) t(x))
 select d.day, coalesce(c.n, 0) as n, c.n is null as gap from d left join c on c.day = d.day""")
 def coverage_gaps(spark, sf_dir):
     """Counts per period with the empty periods in between."""
@@ -246,3 +250,45 @@ def event_dedup(spark, sf_dir):
 def date_parts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.year("ts").alias("y"), F.date_format("ts", "yyyy-MM").alias("ym"), F.round(X.day_gap(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.col("ts")), 6).alias("days"))
+
+
+# ---- lookups, cutoffs, join strategies, generators
+
+@query("select doc_id, lang, case lang when 'en' then 'English' when 'de' then 'German' when 'fr' then 'French' when 'es' then 'Spanish' end as language from documents")
+def map_lookup(spark, sf_dir):
+    """A dictionary applied to a column (what it lacks is null): a literal map, no join."""
+    names = {"en": "English", "de": "German", "fr": "French", "es": "Spanish"}
+    m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.try_element_at(m, F.col("lang")).alias("language"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%d') as day from events where substr(strftime(ts, '%Y-%m-%dT%H:%M:%S'), 1, 10) >= '2024-01-15'")
+def iso_cutoff(spark, sf_dir):
+    """Dates as ISO text, kept from a cutoff on by comparing their first ten characters."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    return table(spark, sf_dir, "events").select("event_id", F.substring(iso, 1, 10).alias("day")).where(F.col("day") >= "2024-01-15")
+
+
+_HINTED = "select o_orderstatus, count(*) as n, round(sum(l_quantity), 4) as qty from orders join lineitem on l_orderkey = o_orderkey group by 1"
+
+
+def _hinted(spark, sf_dir, hint):
+    o, x = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    return x.join(o.hint(hint), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("qty"))
+
+
+@query(_HINTED)
+def sort_merge_join(spark, sf_dir):
+    return _hinted(spark, sf_dir, "merge")
+
+
+@query(_HINTED)
+def shuffle_hash_join(spark, sf_dir):
+    return _hinted(spark, sf_dir, "shuffle_hash")
+
+
+@query("select event_id, k::int as k, date_trunc('second', ts) + k * interval 1 hour as at from events, range(0, 3) r(k) where event_type = 'error'")
+def generated_rows(spark, sf_dir):
+    """A table function in SQL: three rows an hour apart for each error."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.date_trunc("second", "ts").alias("ts"))
+    return spark.sql("select event_id, k, ts + make_interval(0, 0, 0, 0, k) as at from {e} lateral view explode(sequence(0, 2)) g as k", e=e)

@@ -249,13 +249,13 @@ def section_state(spark, sf_dir):
     return clean.sections(table(spark, sf_dir, "conversations"))
 
 
-@query(rf"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '{_W}')) as word from documents) select word, count(*) as n, count(distinct doc_id) as n_docs from w group by word having count(*) >= 50""")
+@query(rf"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '{_W}')) as word from documents) select word, count(*) as n, count(distinct doc_id) as n_docs from w group by word""")
 def token_frequency(spark, sf_dir):
     w = docs_of(spark, sf_dir).select("doc_id", F.explode(X.words(F.lower("text"))).alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query(rf"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '{_W}')) as word from documents where doc_id % 2 = 0 or doc_id % 2 = 1), c as (select doc_id, word, count(*) as n from w group by all),
+@query(rf"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '{_W}')) as word from documents), c as (select doc_id, word, count(*) as n from w group by all),
 t as (select doc_id, list(word) as top from (select *, row_number() over (partition by doc_id order by n desc, word) as rk from c) where rk <= 5 group by doc_id)
 select a.doc_id, round(len(list_intersect(a.top, b.top))::double / len(list_distinct(list_concat(a.top, b.top))), 6) as jaccard from t a join t b on b.doc_id = a.doc_id + 1""")
 def jaccard_top_words(spark, sf_dir):
