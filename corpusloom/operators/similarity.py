@@ -1,4 +1,4 @@
-"""Top-1 and top-k cosine against a reference corpus, native for small corpora and blocked for large ones."""
+"""Top-1 and top-k cosine against a reference corpus, by blocks."""
 
 from __future__ import annotations
 
@@ -16,41 +16,37 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def pairs(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(qid, cid, score) of all pairs: for a corpus that fits a broadcast (its size is Spark's to check)."""
-    return queries.crossJoin(corpus).select("qid", "cid", *[c for c in ("cls",) if c in corpus.columns], dot(F.col("q"), F.col("c")).alias("score"))
-
-
-def top1(scored: DataFrame, *by: str) -> DataFrame:
-    """Best score and its corpus row; ties to the smallest cid."""
-    return scored.groupBy(*by).agg(F.max("score").alias("score"), F.max_by("cid", F.struct("score", -F.col("cid"))).alias("cid"))
-
-
 def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "cid")
     return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int = 1, blocks: int = 8) -> DataFrame:
-    """(qid, cid, score), the k best of each query, by matrix products of blocks.
+def top_k_blocked(queries: DataFrame, corpus: DataFrame, k: int = 1, *by: str, block: int = BLOCK) -> DataFrame:
+    """(qid, *by, cid, score), the k best of each query (and corpus class), by matrix products of blocks.
 
-    Corpus rows are dealt to `blocks` blocks; queries go to every block (the reference workload has few of them against a
-    large corpus) and each pair of blocks yields k rows per query, so no row pair is ever a record.
+    Both sides are dealt to blocks of about `block` rows, as many as their counts ask for; each pair of blocks is one task's
+    group and yields k rows per query, so no pair of rows is ever a record. Memory is one block of each side.
     """
-    q = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    c = corpus.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
+    n_q, n_c = (-(-d.count() // block) or 1 for d in (queries, corpus))
+    q = queries.withColumn("x", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    c = corpus.withColumn("y", F.pmod(F.xxhash64("cid"), F.lit(n_c)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    kinds = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
+    schema = ", ".join(["qid long", *[f"{b} {kinds[b]}" for b in by], "cid long", "score double"])
+    names = ["qid", *by, "cid", "score"]
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            right = right.sort_values("cid")
-            m, ids = np.stack(right["c"].to_numpy()).astype(float), right["cid"].to_numpy()
-            for lo in range(0, len(left), 256):
-                part = left.iloc[lo : lo + 256]
-                s = np.stack(part["q"].to_numpy()).astype(float) @ m.T
-                at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), at.shape[1]), "cid": ids[at].ravel(), "score": np.take_along_axis(s, at, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    local = q.groupBy("block").cogroup(c.groupBy("block")).applyInPandas(best, "qid long, cid long, score double")
-    return top_k(local, k, "qid").drop("rk")
+            for at_class, part in right.groupby(list(by)) if by else [((), right)]:
+                part = part.sort_values("cid")
+                m, ids = np.stack(part["c"].to_numpy()).astype(float), part["cid"].to_numpy()
+                for lo in range(0, len(left), 256):
+                    some = left.iloc[lo : lo + 256]
+                    s = np.stack(some["q"].to_numpy()).astype(float) @ m.T
+                    at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    got = pd.DataFrame({"qid": np.repeat(some["qid"].to_numpy(), at.shape[1]), "cid": ids[at].ravel(), "score": np.take_along_axis(s, at, 1).ravel()})
+                    out.append(got.assign(**dict(zip(by, at_class, strict=True)))[names])
+        return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
+
+    local = q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInPandas(best, schema)
+    return top_k(local, k, "qid", *by).drop("rk")

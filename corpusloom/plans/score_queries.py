@@ -277,7 +277,7 @@ def threshold_folds(spark, sf_dir):
 _CV = f"""with {PRED}, {_FOLD}, g as (select k, i, lo + i * (hi - lo) / 199.0::double as tau from (select k, min(score) as lo, max(score) as hi from tr group by k) l, generate_series(0, 199) s(i)),
 c as (select tr.k, i, tau, count(*) filter (y = 1 and score > tau) as tp, count(*) filter (y = 0 and score > tau) as fp, count(*) filter (y = 1 and score <= tau) as fn from tr join g on g.k = tr.k group by tr.k, i, tau),
 b as (select k, tau from (select *, row_number() over (partition by k order by {_F1} desc, i) as rn from c) where rn = 1),
-e as (select b.k, b.tau, count(*) filter (y = 1 and score > tau) as tp, count(*) filter (y = 0 and score > tau) as fp, count(*) filter (y = 1 and score <= tau) as fn, count(*) filter (y = 0 and score <= tau) as tn from f join b on f.fold = b.k group by b.k, b.tau)
+e as (select b.k, b.tau, count(*) filter (y = 1 and score > tau) as tp, count(*) filter (y = 0 and score > tau) as fp, count(*) filter (y = 1 and score <= tau) as fn, count(*) filter (y = 0 and score <= tau) as tn from f join b on f.fold = b.k group by b.k, b.tau),
 x as (select k, tau, {_RATES} from e)"""
 
 
