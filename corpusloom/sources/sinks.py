@@ -24,10 +24,12 @@ def json_report(d: DataFrame, path: str) -> None:
 
 
 def markdown(d: DataFrame, title: str, limit: int = 200) -> str:
-    """A table of at most `limit` rows as Markdown."""
-    rows = d.limit(limit).collect()
+    """A table of at most `limit` rows as Markdown; a last line says so if there are more."""
+    rows = d.limit(limit + 1).collect()
+    more = f"\nOnly the first {limit} rows.\n" if len(rows) > limit else ""
+    rows = rows[:limit]
     head = "| " + " | ".join(d.columns) + " |\n|" + "-|" * len(d.columns) + "\n"
-    return f"# {title}\n\n" + head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows)
+    return f"# {title}\n\n" + head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows) + more
 
 
 def attribution_html(weights: list[tuple[str, float]]) -> str:

@@ -61,7 +61,16 @@ def append_new(events: DataFrame, path: str, checkpoint: str, keep: Callable[[Da
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return its result from the memory sink (small results, tests)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what is there and return its result: each batch overwrites a folder of its own beside the checkpoint,
+    so a repeated batch counts once and nothing comes to the driver. In complete mode the last batch is the result.
+    """
+    path, done = f"{checkpoint}-{name}", []
+
+    def put(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{i}")
+        done.append(f"{path}/{i}")
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark, parts = stream.sparkSession, done[-1:] if mode == "complete" else done
+    return spark.read.schema(stream.schema).parquet(*parts) if parts else spark.createDataFrame([], stream.schema)
