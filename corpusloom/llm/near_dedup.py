@@ -20,9 +20,8 @@ dealt by (row, share of its partners), so a text that is compared with very many
 
 Nodes of the graph are classes, not ids, so rows that repeat a doc_id with other texts are documents of their own.
 Cases: null or empty texts, and texts without a word, have an empty set and no link; with fewer than five words
-the whole sequence is one shingle; very long texts are one set each, held by one task at a time; in `assign` rows
-without a doc_id take no part and are kept, in `deduplicated` they are documents like others; rows of one doc_id get a
-component each by their texts; other columns are not read.
+the whole sequence is one shingle; very long texts are one set each, held by one task at a time; rows without a
+doc_id take no part and are kept; rows of one doc_id get a component each by their texts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -153,9 +152,9 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def classes_of(sk: DataFrame, unnamed: bool = False) -> DataFrame:
+def classes_of(sk: DataFrame) -> DataFrame:
     """Stored (node, n_shingles, h1, h2, head, copies, bands): rows with equal sets; head: the first of them by doc_id, then text."""
-    full = sk.where("n_shingles > 0" if unnamed else "n_shingles > 0 and doc_id is not null")
+    full = sk.where("n_shingles > 0 and doc_id is not null")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("head")
     classes = full.groupBy("n_shingles", "h1", "h2").agg(head, F.count("*").alias("copies"), F.first("bands").alias("bands"))
     return stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -275,17 +274,15 @@ def heads(cls: DataFrame, labels: DataFrame) -> DataFrame:
     return stash(lone.unionByName(with_first), "named")
 
 
-def verdicts(docs: DataFrame, percent: int = PERCENT, unnamed: bool = False) -> DataFrame:
-    """(doc_id, th, n_shingles, head) of each row of docs; head: the first row of its component, null if it takes no part.
-
-    unnamed: whether rows without a doc_id take part."""
+def verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, th, n_shingles, head) of each row of docs; head: the first row of its component, null if it takes no part."""
     sk = stash(sketches(docs), "sketches")
-    cls = classes_of(sk, unnamed)
+    cls = classes_of(sk)
     total = sk.count()
     labels = link_classes(docs, cls, total, percent)
     named = heads(cls, labels)
     unstash(cls, labels)
-    head = F.col("head") if unnamed else F.when(F.col("doc_id").isNotNull(), F.col("head"))
+    head = F.when(F.col("doc_id").isNotNull(), F.col("head"))
     return lookup(sk.drop("bands"), named, ["n_shingles", "h1", "h2"], "copies", "left", total).select("doc_id", "th", "n_shingles", head.alias("head"))
 
 
@@ -297,11 +294,11 @@ def assign(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component, the first by doc_id (nulls last), then by hash of the text.
+    """docs with one row of each component, the first by doc_id, then by hash of the text.
 
-    Of rows that agree in doc_id and text one stays, the least by a hash of all columns; rows with an empty set all stay.
+    Of rows that agree in doc_id and text one stays, the least by a hash of all columns; rows without a doc_id or with an empty set all stay.
     """
-    v = verdicts(docs, percent, unnamed=True).where("head is not null")
+    v = verdicts(docs, percent).where("head is not null")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     rows = v.groupBy(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th").agg(F.count("*").alias("copies"), F.first(own != F.col("head")).alias("drop"))
     told = stash(rows.where("drop or copies > 1"), "told")

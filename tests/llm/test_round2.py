@@ -60,13 +60,15 @@ def test_dedup_and_mix_of_odd_ids(spark):
     left = near_dedup.deduplicated(docs)
     assert left.columns == docs.columns
     left = [(r["doc_id"], r["text"], r["source"]) for r in left.collect()]
-    full = [g for g in components(range(len(rows))) if sets[g[0]]]
-    assert sum(bool(shingles(r[1])) for r in left) == len(full) and not Counter(left) - Counter(rows)
+    named = [r for r in left if r[0] is not None]
+    full = [g for g in components([i for i, r in enumerate(rows) if r[0] is not None]) if sets[g[0]]]
+    assert sum(bool(shingles(r[1])) for r in named) == len(full) and not Counter(left) - Counter(rows)
+    assert Counter(r for r in left if r[0] is None) == Counter(r for r in rows if r[0] is None)
     by_set = {s: k for k, g in enumerate(full) for s in {sets[i] for i in g}}
-    least = [min((rows[i][0] is None, rows[i][0] or 0) for i in g) for g in full]
-    for r in left:
+    least = [min(rows[i][0] for i in g) for g in full]
+    for r in named:
         if s := shingles(r[1]):
-            assert least[by_set[s]] == (r[0] is None, r[0] or 0)
+            assert least[by_set[s]] == r[0]
     # the mix takes as many words as planned, from the sources planned
     plan, out = defaultdict(int), defaultdict(int)
     for r in mixing.mix(docs).collect():
