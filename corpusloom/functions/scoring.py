@@ -51,3 +51,24 @@ def ratio(a: Column, b: Column) -> Column:
 
 def certainty(pred: Column, p1: Column) -> Column:
     return F.when(pred == 1, p1).otherwise(1 - p1)
+
+
+#: A published rational approximation of the complementary error function (relative error under 1.2e-7).
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def two_sided(z: Column) -> Column:
+    """Probability that a normal deviate is at least as far from 0 as z; null for null."""
+    x = F.abs(z) / F.lit(2.0**0.5)
+    t = F.lit(1.0) / (F.lit(1.0) + x / 2)
+    series = F.lit(ERFC[-1])
+    for c in ERFC[-2::-1]:
+        series = series * t + F.lit(c)
+    return F.when(z.isNotNull(), F.least(F.lit(1.0), t * F.exp(series - x * x)))
+
+
+def kolmogorov(x: Column, terms: int = 20) -> Column:
+    """Limiting probability that a scaled Kolmogorov-Smirnov distance is at least x."""
+    part = lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(F.lit(-2.0) * k * k * x * x)
+    p = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(terms)), part), F.lit(0.0), lambda a, y: a + y)
+    return F.when(x < 0.2, 1.0).when(x >= 0.2, F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))

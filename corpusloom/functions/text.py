@@ -141,7 +141,7 @@ def ablate(t: Column, pattern: str, by: str = " ") -> Column:
 
 def without_words(t: Column, drop: Column) -> Column:
     """A text without the words that, lower-cased and stripped of punctuation, are in the array."""
-    return F.array_join(F.filter(F.split(t, " "), lambda w: ~F.array_contains(drop, F.lower(F.regexp_replace(w, r"^[.,!?;:\"']+|[.,!?;:\"']+$", "")))), " ")
+    return F.array_join(F.filter(words(t), lambda w: ~F.array_contains(drop, F.lower(F.regexp_replace(w, r"^[.,!?;:\"']+|[.,!?;:\"']+$", "")))), " ")
 
 
 def assemble(title: Column, body: Column) -> Column:

@@ -15,7 +15,7 @@ from corpusloom.functions import text as X
 
 def flags(rows: DataFrame, patterns: dict[str, str], prefix: str = "", col: str = "sentence") -> DataFrame:
     low = F.lower(col)
-    return rows.withColumns({prefix + n: low.rlike(p) for n, p in patterns.items()})
+    return rows.withColumns({prefix + n: (F.col(col) if n in P.CASED else low).rlike(p) for n, p in patterns.items()})
 
 
 def structure(s: DataFrame) -> DataFrame:
@@ -53,6 +53,11 @@ def noise_decision(pct: Column) -> Column:
     return F.when(pct < 2, "negligible").when(pct <= 5, "moderate").otherwise("clean again")
 
 
+def title_decision(pct: Column) -> Column:
+    """What to do with titles of which pct % carry a pattern."""
+    return F.when(pct > 50, "exclude_toate").when(pct > 20, "curatare_selectiva").otherwise("include")
+
+
 def residual(s: DataFrame) -> DataFrame:
     """`action` (first rule that holds) and `cleaned` of each sentence."""
     t = F.col("sentence")
@@ -113,7 +118,7 @@ def article(d: DataFrame) -> DataFrame:
     steps = [("sursa", P.SOURCE_TAIL), ("citeste_si", P.READ_ALSO_TAIL), ("prefix_editorial", P.EDITORIAL), ("rador", P.AGENCY_TAIL), ("attribution", P.ATTRIBUTION_TAIL)]
     out, last, acts = d, "text", []
     for i, (name, pattern) in enumerate(steps):
-        cut = F.regexp_replace(last, pattern, "")
+        cut = F.regexp_replace(last, pattern, "$1" if name == "prefix_editorial" else "")
         out = out.withColumn(f"_t{i}", F.trim(cut) if name == "attribution" else cut)
         acts.append(F.when(F.col(last) != F.col(f"_t{i}"), F.lit(name)))
         last = f"_t{i}"
@@ -192,9 +197,28 @@ def promoted(rows: DataFrame) -> DataFrame:
     return out.withColumn("level", F.when(F.col("level").startswith("suspect"), "excelenta").otherwise(F.col("level")))
 
 
-def dominance(a: Column, b: Column) -> Column:
+def older_article(t: Column) -> Column:
+    """The older cleaner: source note at the end, attributions between sentences, links at the end."""
+    t = F.trim(F.regexp_replace(t, P.SOURCE_NOTE, ""))
+    t = X.squeeze(F.regexp_replace(t, P.INLINE_ATTRIBUTION, " "))
+    return F.trim(F.regexp_replace(t, P.LINKS_AT_END, ""))
+
+
+def n_whole(t: Column, words: str) -> Column:
+    """Matches of a pattern that begin and end at a word's boundary, whatever the letters and the case.
+
+    Separators are doubled first, so that neighbouring matches have one each.
+    """
+    return X.n_matches(F.regexp_replace(F.lower(t), r"([^\p{L}\p{N}_])", "$1$1"), whole(words))
+
+
+def whole(words: str) -> str:
+    return P.B + words.replace(r"\w", P.LETTER) + P.E
+
+
+def dominance(a: Column, b: Column, names: tuple[str, str, str] = ("keep_no_iran", "keep_ukraine_dominant", "drop_iran_dominant")) -> Column:
     """Which of two topics an article is about, by matches."""
-    return F.when(b == 0, "keep").when(a >= b, "keep_a_dominant").otherwise("drop_b_dominant")
+    return F.when(b == 0, names[0]).when(a >= b, names[1]).otherwise(names[2])
 
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:

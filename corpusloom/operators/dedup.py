@@ -37,6 +37,14 @@ def check_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
         raise ValueError(f"tables share values of {key}")
 
 
+def check_complete(joined: DataFrame, column: str) -> DataFrame:
+    """The rows of a left join, if every one of them found a partner."""
+    missing = joined.where(F.col(column).isNull()).limit(3).collect()
+    if missing:
+        raise ValueError(f"rows without {column}, such as {missing}")
+    return joined
+
+
 def check_required(rows: DataFrame, columns: list[str]) -> None:
     missing = [c for c in columns if c not in rows.columns]
     if missing:

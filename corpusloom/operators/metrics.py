@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scoring import ratio
+from corpusloom.functions import text as X
+from corpusloom.functions.scoring import kolmogorov, ratio, two_sided
 from corpusloom.operators.ranks import below
 
 
@@ -67,3 +68,46 @@ def describe(rows: DataFrame, value: str, *by: str) -> DataFrame:
     p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), p.alias("p"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
     return g.select(*by, "n", "min", *[F.col("p")[i].alias(a) for i, a in enumerate(("p25", "median", "p75"))], "max", "mean", "std")
+
+
+def rank_sum(rows: DataFrame) -> DataFrame:
+    """Mann-Whitney test of `score` between labels, two-sided: (u, z, p), ties corrected and with continuity correction."""
+    n = rows.groupBy("score").agg(F.count_if(F.col("y") == 1).cast("double").alias("a"), F.count_if(F.col("y") == 0).cast("double").alias("b"))
+    t = F.col("a") + F.col("b")
+    s = below(n, [], "score", {"less": "b"}).agg(F.sum(F.col("a") * (F.col("less") + F.col("b") / 2)).alias("u1"), F.sum("a").alias("n1"), F.sum("b").alias("n0"), F.sum(t * t * t - t).alias("ties"))
+    n1, n0, all_ = F.col("n1"), F.col("n0"), F.col("n1") + F.col("n0")
+    spread = F.sqrt(n1 * n0 / 12 * (all_ + 1 - F.try_divide(F.col("ties"), all_ * (all_ - 1))))
+    s = s.withColumn("u", F.greatest(F.col("u1"), n1 * n0 - F.col("u1"))).withColumn("z", F.try_divide(F.col("u") - n1 * n0 / 2 - 0.5, spread))
+    return s.select(F.col("u1").alias("u"), "z", F.when(F.col("z") < 0, 1.0).otherwise(two_sided(F.col("z"))).alias("p"))
+
+
+def signed_rank(rows: DataFrame) -> DataFrame:
+    """Wilcoxon test of paired differences `d` (zeros left out), two-sided: (w, z, p), ties corrected."""
+    n = rows.where("d <> 0").withColumn("m", F.abs("d")).groupBy("m").agg(F.count_if(F.col("d") > 0).cast("double").alias("up"), F.count_if(F.col("d") < 0).cast("double").alias("down"))
+    n = below(n.withColumn("t", F.col("up") + F.col("down")), [], "m", {"less": "t"})
+    t, rank = F.col("t"), F.col("less") + (F.col("t") + 1) / 2
+    s = n.agg(F.sum(F.col("up") * rank).alias("plus"), F.sum(F.col("down") * rank).alias("minus"), F.sum(t).alias("n"), F.sum(t * t * t - t).alias("ties"))
+    k = F.col("n")
+    spread = F.sqrt((k * (k + 1) * (2 * k + 1) - F.col("ties") / 2) / 24)
+    s = s.withColumn("w", F.least("plus", "minus")).withColumn("z", F.try_divide(F.col("w") - k * (k + 1) / 4, spread))
+    return s.select("w", "z", two_sided(F.col("z")).alias("p"))
+
+
+def ks_test(rows: DataFrame, *by: str) -> DataFrame:
+    """The Kolmogorov-Smirnov distance with its limiting probability: (*by, ks, p)."""
+    scaled = F.col("ks") * F.sqrt(F.try_divide(F.col("n1") * F.col("n0"), F.col("n1") + F.col("n0")))
+    return ks(rows, *by).select(*by, "ks", kolmogorov(scaled).alias("p"))
+
+
+def faithfulness(d: DataFrame, ranked: Column, score, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """d (with `text`) with drop_k, what a score loses when the k weightiest words are deleted, and `auc`, their mean.
+
+    `ranked` lists words by falling weight; a drop is null where there are fewer than k or nothing is left, and without any drop auc is 0.
+    """
+    text = F.col("text")
+    rest = lambda k: X.without_words(text, F.transform(F.slice(ranked, 1, k), F.lower))
+    d = d.withColumns({f"_rest{k}": rest(k) for k in ks})
+    d = d.withColumns({f"drop_{k}": F.when((F.size(ranked) >= k) & (F.trim(f"_rest{k}") != ""), score(text) - score(F.col(f"_rest{k}"))) for k in ks})
+    valid = F.filter(F.array(*[f"drop_{k}" for k in ks]), lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate(valid, F.lit(0.0), lambda a, x: a + x), F.size(valid))
+    return d.withColumn("auc", F.coalesce(mean, F.lit(0.0))).drop(*[f"_rest{k}" for k in ks])

@@ -9,7 +9,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import clean, html
 from corpusloom.operators import metrics as M
 from corpusloom.plans.score_queries import PRED, predictions
-from corpusloom.plans.text_queries import _N, _PLAIN, SENTENCES, docs_of, sents
+from corpusloom.plans.text_queries import _N, _PLAIN, SENTENCES, _drop_sql, docs_of, sents
 from corpusloom.registry import query
 from corpusloom.session import table
 
@@ -49,9 +49,9 @@ def length_drops(spark, sf_dir):
     return d.groupBy("source").agg(F.count_if(F.col("n") > 2000).alias("too_long"), F.count_if(F.col("n") < 64).alias("too_short"), F.count_if(F.col("n").between(64, 1100)).alias("usual"))
 
 
-@query("select o_orderkey, year(o_orderdate)::int as y from orders where o_orderdate is not null and not (year(o_orderdate) = 1995 or strftime(o_orderdate, '%Y-%m') = '1996-03') and o_totalprice > 200000")
+@query("select o_orderkey, year(o_orderdate)::int as y from orders where o_orderdate is not null and not (year(o_orderdate) = 1995 or strftime(o_orderdate, '%Y-%m') = '1996-03')")
 def temporal_drops(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderdate is not null and o_totalprice > 200000")
+    o = table(spark, sf_dir, "orders").where("o_orderdate is not null")
     return o.where(~((F.year("o_orderdate") == 1995) | (F.date_format("o_orderdate", "yyyy-MM") == "1996-03"))).select("o_orderkey", F.year("o_orderdate").alias("y"))
 
 
@@ -65,7 +65,14 @@ def title_actions(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", clean.normal_title(t).alias("t")).select("page_id", "t.action", "t.title")
 
 
-@query()
+_CAPTIONS = "t"
+for _line in P.CAPTION_LINES:
+    _CAPTIONS = f"regexp_replace({_CAPTIONS}, '{_line}', '', 'g')"
+
+
+@query(rf"""with t as (select doc_id, regexp_replace(text || chr(10) || 'Sursa foto: x' || chr(10) || 'Citește și: ' || lang || chr(10) || 'Editor : y', '{P.EDITOR_TAIL}', '') as t from documents), c as (select doc_id, regexp_replace({_CAPTIONS}, '{P.LIVE_SENTENCE}', '', 'g') as t from t),
+a as (select doc_id, t, regexp_matches(t, '{P.RELATED}') as hit, len(regexp_extract(t, '(?s)^(.*?){P.RELATED}', 1)) as cut from c), b as (select doc_id, case when hit and cut > 0.75::double * len(t) then substr(t, 1, cut) else t end as t from a)
+select doc_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) as body from b""")
 def article_bodies(spark, sf_dir):
     """Bodies with an editor tail, captions and related links put in, cleaned again."""
     t = F.concat("text", F.lit("\nSursa foto: x\nCitește și: "), "lang", F.lit("\nEditor : y"))
@@ -85,7 +92,7 @@ def external_cleaning(spark, sf_dir):
     return clean.external(d, list(P.COOKIE_TAILS), list(P.EXTERNAL_DROPS)).select("doc_id", "pos", "cleaned", "action")
 
 
-_R = ", ".join(f"count(*) filter (regexp_matches(lower(sentence), '{p}')) as {n}" for n, p in P.RESIDUAL.items())
+_R = ", ".join(f"count(*) filter (regexp_matches({'sentence' if n in P.CASED else 'lower(sentence)'}, '{p}')) as {n}" for n, p in P.RESIDUAL.items())
 
 
 @query(rf"""with {SENTENCES} select lang, {_R}, count(*) filter (regexp_matches(trim(sentence), '^\p{{Lu}}[\p{{L}}\p{{N}}_\-.\s]{{0,80}}\s*:\s*$') and len(regexp_extract_all(replace(sentence, ':', ''), '[^\x20\x09-\x0D]+')) <= 6) as speaker,
@@ -112,11 +119,16 @@ def id_rewrite(spark, sf_dir):
 @query("select page_id, (select string_agg(x, ' | ') from (select unnest(list_filter(list_transform(regexp_extract_all(html, '(?s)<li><a[^>]*>(.*?)</a>', 1), lambda x: trim(x)), lambda x: len(x) > 5)) as x)) as menu from pages")
 def html_lists(spark, sf_dir):
     """Texts of a repeated element, the longer ones joined."""
-    items = F.filter(F.transform(F.regexp_extract_all("html", F.lit("(?s)<li><a[^>]*>(.*?)</a>")), F.trim), lambda x: F.length(x) > 5)
+    items = F.filter(F.transform(F.regexp_extract_all("html", F.lit("(?s)<li><a[^>]*>(.*?)</a>")), lambda x: F.trim(x)), lambda x: F.length(x) > 5)
     return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.array_join(items, " | "), F.lit("")).alias("menu"))
 
 
-@query()
+def _body(c: str) -> str:
+    return _PLAIN.format(_drop_sql(f"regexp_extract(html, '(?is)<{c}[^>]*>(.*?)</{c}>', 1)"))
+
+
+@query(f"""with b as (select page_id, html, {_body("article")} as a, {_body("main")} as m, {_PLAIN.format(_drop_sql("html"))} as w from pages)
+select page_id, case when len(a) > 200 then a when len(m) > 200 then m else w end as body, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:em|i)>(.*?)</(?:em|i)>', 1), lambda x: {_PLAIN.format("x")}), lambda x: len(x) > 50), ' | ') as quoted, nullif(regexp_extract(html, '(?i)name="author"[^>]*content="([^"]*)"', 1), '') as author from b""")
 def html_bodies(spark, sf_dir):
     """Text of the first container with enough of it, quotations, and author."""
     p = html.meta(table(spark, sf_dir, "pages"))

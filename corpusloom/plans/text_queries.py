@@ -121,7 +121,7 @@ def corpus_digest(spark, sf_dir):
 
 def _flag(col: str, ps: dict[str, str]) -> str:
     q = lambda p: p.replace("'", "''")
-    return ", ".join(f"regexp_matches(lower({col}), '{q(p)}') as {n}" for n, p in ps.items())
+    return ", ".join(f"regexp_matches({col if n.removeprefix('r_') in P.CASED else f'lower({col})'}, '{q(p)}') as {n}" for n, p in ps.items())
 
 
 _NOISE = dict(P.BOILERPLATE)
@@ -172,7 +172,7 @@ def banner_actions(spark, sf_dir):
 
 
 @query(rf"""with a as (select doc_id, lang || ' ' || text || ' Sursa: x' as t0 from documents), b as (select doc_id, t0, regexp_replace(t0, '{P.SOURCE_TAIL}', '') as t1 from a), c as (select *, regexp_replace(t1, '{P.READ_ALSO_TAIL}', '') as t2 from b),
-d as (select *, regexp_replace(t2, '{P.EDITORIAL}', '') as t3 from c), e as (select *, regexp_replace(t3, '{P.AGENCY_TAIL}', '') as t4 from d), f as (select *, trim(regexp_replace(t4, '{P.ATTRIBUTION_TAIL}', '')) as t5 from e),
+d as (select *, regexp_replace(t2, '{P.EDITORIAL}', '\1') as t3 from c), e as (select *, regexp_replace(t3, '{P.AGENCY_TAIL}', '') as t4 from d), f as (select *, trim(regexp_replace(t4, '{P.ATTRIBUTION_TAIL}', '')) as t5 from e),
 g as (select *, trim(regexp_replace(trim(regexp_replace(t5, '[\x20\x09-\x0D]+', ' ', 'g')), '[\s,;:/.\-]+$', '')) as t6 from f)
 select doc_id, case when t6 = '' or regexp_matches(t6, '[.!?]$') then t6 else t6 || '.' end as cleaned, array_to_string(list_filter([case when t0 <> t1 then 'sursa' end, case when t1 <> t2 then 'citeste_si' end, case when t2 <> t3 then 'prefix_editorial' end, case when t3 <> t4 then 'rador' end, case when t4 <> t5 then 'attribution' end], lambda x: x is not null), '|') as actions from g""")
 def cleaner_actions(spark, sf_dir):
@@ -194,7 +194,7 @@ def topic_details(spark, sf_dir):
 def topic_dominance(spark, sf_dir):
     low = F.lower("text")
     d = docs_of(spark, sf_dir).select("doc_id", X.n_matches(low, "the").alias("a"), X.n_matches(low, "ung").alias("b"))
-    return d.withColumn("verdict", F.when(F.col("b") == 0, "keep").when(F.col("a") >= F.col("b"), "keep_a_dominant").otherwise("drop_b_dominant"))
+    return d.withColumn("verdict", clean.dominance(F.col("a"), F.col("b"), ("keep", "keep_a_dominant", "drop_b_dominant")))
 
 
 _STRIP = "regexp_replace({}, '<[^>]+>', ' ', 'g')"
@@ -274,8 +274,9 @@ def text_ablation(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", X.n_chars(X.ablate(t, r"[^\x00-\x7F]+")).alias("n_ascii"), X.n_matches(t, r"[\p{IsCyrillic}]").alias("n_cyrillic"), X.n_matches(X.ablate(t, "[0-9]{3,}", "[ENT]"), r"\[ENT\]").alias("n_masked"))
 
 
-@query(rf"""select doc_id, {_N.format("text")} as n_words, len(regexp_extract_all(text, '["„”«»]')) as n_quotes, round(len(regexp_replace(text, '[\x00-\x7F]', '', 'g'))::double / len(text), 6) as non_ascii, len(regexp_extract_all(text, chr(10) || '+')) + 1 as n_paragraphs, round(len(regexp_replace(text, '[^\p{{L}}]', '', 'g'))::double / len(text), 6) as letters from documents where len(text) > 0""")
+@query(rf"""select doc_id, {_N.format("text")} as n_words, len(regexp_extract_all(text, '["„”«»]')) as n_quotes, round(coalesce(len(regexp_replace(text, '[\x00-\x7F]', '', 'g'))::double / nullif(len(text), 0), 0), 6) as non_ascii, len(regexp_extract_all(text, chr(10) || '+')) + 1 as n_paragraphs, round(coalesce(len(regexp_replace(text, '[^\p{{L}}]', '', 'g'))::double / nullif(len(text), 0), 0), 6) as letters from (select doc_id, coalesce(text, '') as text from documents)""")
 def structural_features(spark, sf_dir):
-    t = F.col("text")
-    d = docs_of(spark, sf_dir).where(F.length(t) > 0)
-    return d.select("doc_id", X.n_words(t).alias("n_words"), X.n_matches(t, '["„”«»]').alias("n_quotes"), F.round(F.length(F.regexp_replace(t, r"[\x00-\x7F]", "")).cast("double") / F.length(t), 6).alias("non_ascii"), (X.n_matches(t, "\n+") + 1).alias("n_paragraphs"), F.round(X.letter_share(t), 6).alias("letters"))
+    """Counts and shares of every document; null and empty texts have none."""
+    t = F.coalesce("text", F.lit(""))
+    d = docs_of(spark, sf_dir)
+    return d.select("doc_id", X.n_words(t).alias("n_words"), X.n_matches(t, '["„”«»]').alias("n_quotes"), F.round(F.coalesce(F.try_divide(F.length(F.regexp_replace(t, r"[\x00-\x7F]", "")).cast("double"), F.length(t)), F.lit(0.0)), 6).alias("non_ascii"), (X.n_matches(t, "\n+") + 1).alias("n_paragraphs"), F.round(X.letter_share(t), 6).alias("letters"))
