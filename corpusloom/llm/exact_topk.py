@@ -4,8 +4,9 @@ Vectors become integers floor(1024 * x). Their Gram matrix (dimensions squared,
 rotation of the singular value decomposition, under which the first coordinates carry most of the length.
 Candidates are dealt in ranges by descending length and packed in blocks of BLOCK rows, queries in blocks of
 QUERIES rows. The block with the longest vectors is scored first and gives every query a lower bound of its k-th
-score; any other block is skipped for a query if the query's length times the block's greatest length stays
-under it, and within a block a candidate is dropped if its partial sum over the first HEAD coordinates plus the
+score. Ranges are in order of length, so a query block is sent only as far as some query's length times the greatest
+length of the ranges there reaches that query's bound (STEPS runs of ranges are told apart, so what the driver holds
+doesn't grow). A block that is met is skipped for a query by the same test, and within a block a candidate is dropped if its partial sum over the first HEAD coordinates plus the
 product of the remaining lengths does. What is left is scored exactly, in integers (doubles below 2**53, else
 Python's). A query block meets the candidate blocks of a range in one task, block by block: memory is one block of each.
 
@@ -28,6 +29,7 @@ SCALE = 1024
 BLOCK = 4096
 QUERIES = 512
 RANGE = 8192
+STEPS = 64
 EXACT = float(1 << 53)
 
 
@@ -90,13 +92,13 @@ def score_block(q_ids, q, floor, c_ids, c, turn, k: int, head: int):
     qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
     longest = cn.max(initial=0.0)
     slack = 1e-9 * (1 + np.outer(qn, [longest]).max(initial=0.0))
-    live = np.flatnonzero(qn * longest + slack >= floor)
+    live = np.flatnonzero(~(qn * longest + slack < floor))  # what overflows is kept
     out = []
     if not len(live):
         return out
     rq, rc = q[live] @ turn, c @ turn
     tail = np.outer(np.linalg.norm(rq[:, head:], axis=1), np.linalg.norm(rc[:, head:], axis=1))
-    maybe = rq[:, :head] @ rc[:, :head].T + tail + slack >= floor[live][:, None]
+    maybe = ~(rq[:, :head] @ rc[:, :head].T + tail + slack < floor[live][:, None])
     maybe &= q_ids[live][:, None] != c_ids[None, :]
     whole = exact_dots(q[live], c) if maybe.mean() > 0.05 else None
     for i, at in enumerate(live):
@@ -150,17 +152,26 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     top = blocks.orderBy(F.col("longest").desc(), "part", "no").select("ids", "rows").limit(1).collect()  # one block, at most about BLOCK rows
     top_ids, top_rows = (np.frombuffer(top[0][0], np.int64), np.frombuffer(top[0][1]).reshape(-1, d)) if top else (np.zeros(0, np.int64), np.zeros((0, d)))
 
+    parts = blocks.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1
+    step = F.floor(F.col("part") * F.lit(STEPS) / F.lit(parts))
+    steps = blocks.groupBy(step.alias("step")).agg(F.max("longest"), F.max("part")).collect()  # at most STEPS rows
+    reach, last = np.array([r[1] for r in steps], float), np.array([r[2] for r in steps], np.int64)
+
     def bounds(batches):
-        """Each query's k-th score within the longest candidates: a lower bound of its k-th score."""
+        """Each query's k-th score within the longest candidates, a lower bound of its k-th score; and the last range that any query needs."""
         for b in batches:
-            floors = []
+            floors, upto = [], []
             for r in b.to_pylist():
                 q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_rows"]).reshape(-1, d)
                 seen: dict[int, list[int]] = {}
                 for i, _, x in score_block(q_ids, q, np.full(len(q_ids), -np.inf), top_ids, top_rows, turn, k, head):
                     seen.setdefault(i, []).append(x)
-                floors.append(np.array([float(min(seen[i])) if len(seen.get(i, ())) == k else -np.inf for i in range(len(q_ids))]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(floors, pa.binary())], names=["q_ids", "q_rows", "floor"])
+                floor = np.array([float(min(seen[i])) if len(seen.get(i, ())) == k else -np.inf for i in range(len(q_ids))])
+                floors.append(floor.tobytes())
+                products = np.outer(np.linalg.norm(q, axis=1), reach)
+                needed = (~(products + 1e-9 * (1 + products) < floor[:, None])).any(axis=0)
+                upto.append(int(last[needed].max(initial=-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(floors, pa.binary()), pa.array(upto, pa.int64())], names=["q_ids", "q_rows", "floor", "upto"])
 
     def scored(batches):
         for b in batches:
@@ -173,9 +184,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                     s.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    asks = stash(asks.mapInArrow(bounds, "q_ids binary, q_rows binary, floor binary"), "bounded")
-    parts = blocks.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1
-    met = blocks.join(asks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), "part")
+    asks = stash(asks.mapInArrow(bounds, "q_ids binary, q_rows binary, floor binary, upto long").where("upto >= 0"), "bounded")
+    met = blocks.join(asks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("upto")))), "part")
     found = met.select("q_ids", "q_rows", "floor", "ids", "rows").mapInArrow(scored, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -4,11 +4,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import dom, graph, html_wrapper, mixing, near_dedup
+from corpusloom.llm import dom, exact_topk, graph, html_wrapper, mixing, near_dedup
 from corpusloom.llm.shared import stash
+from tests.llm.test_table_ops import plain_top
 
 
 def shingles(text):
@@ -283,3 +285,19 @@ def test_best_fit_of_counts_is_best_fit_of_pieces():
         cost = sum(n * c for _, n, c in got)
         want = sum(next(c for c in (16, 32, 64) if c >= b[0] - b[1]) for b in bins)
         assert made <= len(bins) * 1.1 + 1 and cost <= want * 1.1 + 16
+
+
+def test_query_blocks_go_no_farther_than_lengths_allow(spark, monkeypatch):
+    gen = np.random.default_rng(5)
+    base = gen.normal(size=(800, 6))
+    base *= (np.geomspace(30, 0.05, 800) / np.linalg.norm(base, axis=1))[gen.permutation(800), None]
+    rows = [(i, [float(np.float32(x)) for x in e]) for i, e in enumerate(base)]
+    tables = {}
+    plain = exact_topk.stash
+    monkeypatch.setattr(exact_topk, "stash", lambda df, name: tables.setdefault(name, plain(df, name)))
+    monkeypatch.setattr(exact_topk, "BLOCK", 64)
+    monkeypatch.setattr(exact_topk, "RANGE", 64)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == plain_top(rows)
+    parts = tables["blocks"].agg(F.max("part")).first()[0]
+    assert parts > 4 and tables["bounded"].agg(F.max("upto")).first()[0] < parts
