@@ -301,3 +301,29 @@ def test_query_blocks_go_no_farther_than_lengths_allow(spark, monkeypatch):
     assert got == plain_top(rows)
     parts = tables["blocks"].agg(F.max("part")).first()[0]
     assert parts > 4 and tables["bounded"].agg(F.max("upto")).first()[0] < parts
+
+
+def test_topk_sends_the_driver_no_block_of_each_task(spark, monkeypatch):
+    """Only the longest block goes to the driver: each collected row of candidates is asked for by its number."""
+    gen = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in e]) for i, e in enumerate(gen.normal(size=(900, 8)))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sorts = []
+    frame = type(d)
+    plain = frame.orderBy
+    monkeypatch.setattr(frame, "orderBy", lambda self, *a, **b: sorts.append(self.columns) or plain(self, *a, **b))
+    monkeypatch.setattr(exact_topk, "BLOCK", 32)
+    monkeypatch.setattr(exact_topk, "RANGE", 64)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_topk.top_k(d).collect()}
+    assert got == plain_top(rows)
+    assert sorts and not any("rows" in c for c in sorts)
+
+
+def test_topk_of_few_long_ranges_groups_and_ties(spark, monkeypatch):
+    gen = np.random.default_rng(9)
+    base = np.concatenate([gen.integers(-2, 3, size=(700, 4)).astype(float), gen.normal(size=(200, 4)) * 1e4, np.ones((60, 4))])
+    rows = [(int(i) * 10, [float(np.float32(x)) for x in e]) for i, e in zip(gen.permutation(len(base)), base, strict=True)]
+    for name, x in (("BLOCK", 32), ("QUERIES", 8), ("RANGE", 16), ("RANGES", 5), ("GROUP_BYTES", 6000)):
+        monkeypatch.setattr(exact_topk, name, x)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
+    assert got == plain_top(rows)
