@@ -19,12 +19,13 @@ from these. Pages without a wrapper (no layout of so many pages, or copies only)
 
 Patterns, votes and characters are summed per task and then by wrapper and slot, so a hot host has no task of its own;
 frames and wrappers have at most one page's tree a layout and are joined by key (broadcast if their counted size allows,
-else dealt, a hot host's pages by AQE's skew split). Very long lists of children are matched near their diagonal (LONG, BAND).
+else dealt, a hot host's pages by AQE's skew split). Lists of children of any length are matched whole: subtrees of equal tags are told by number (Shapes), so
+that each pair of different ones is matched once, equal beginnings pass without a table, and tables of long lists keep some rows only.
 
 Output: text (blocks in page order, joined by one newline; white space in a block is one blank; line breaks are
 white space) and n_chars. Cases: null or empty html gives an empty text; a url without a host is a host of
 its own (empty); repeated pages and copies are extracted alike; broken or cut markup is read as far as it goes; deep nesting
-and very long pages take time in proportion to their nodes; input columns may have any names, `text` and `n_chars` are replaced.
+takes time in proportion to the nodes, two long lists of children that differ from their beginnings on the product of their lengths; input columns may have any names, `text` and `n_chars` are replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from itertools import product
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +57,9 @@ VARYING = 20
 REGION = 0.6
 #: Blocks of text: never gone into in search of the article.
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figure figcaption address caption #text".split())
-#: Pairs of children up to which all are looked at; farther from the diagonal than BAND, pairs of longer lists don't match.
-LONG, BAND = 1 << 16, 64
+#: Lists of children from which on rows of a table are computed by numpy, cells of a table that is kept whole, and entries
+#: that a frame keeps between pages. None of them changes a result.
+WIDE, CELLS, HELD = 48, 1 << 22, 4000
 #: Group of wrappers that hosts share; no host has this name.
 ANY = "*"
 #: Outer containers that make up a layout, and how deep they are looked at.
@@ -72,8 +77,139 @@ def text_hash(t: str) -> int:
     return zlib.crc32(t.encode("utf-8", "surrogatepass"))
 
 
+class Shapes:
+    """Numbers of subtrees by their tags: what lies below a subtree has smaller numbers. Sizes of the largest matchings of two of them.
+
+    A matching pairs roots of equal tags and children in order. Two equal subtrees match whole, and if two lists begin or end with
+    equal ones, some largest matching pairs these.
+    """
+
+    def __init__(self):
+        self.ids: dict[tuple, int] = {}
+        self.tag: list[str] = []
+        self.kids: list[tuple] = []
+        self.size: list[int] = []
+        self.matched: dict[int, dict[int, int]] = {}
+        self.entries = 0
+
+    def of(self, tag: str, kids: tuple) -> int:
+        n = self.ids.setdefault((tag, kids), len(self.ids))
+        if n == len(self.tag):
+            self.tag.append(tag)
+            self.kids.append(kids)
+            self.size.append(1 + sum(self.size[k] for k in kids))
+        return n
+
+    def page(self, root: Node) -> dict[int, int]:
+        """Numbers of a page's nodes, by id."""
+        out: dict[int, int] = {}
+        for n in reversed(list(root.walk())):
+            out[id(n)] = self.of(n.tag, tuple(out[id(k)] for k in n.kids))
+        return out
+
+    def weight(self, s: int, t: int) -> int:
+        if s == t:
+            return self.size[s]
+        if self.tag[s] != self.tag[t]:
+            return 0
+        return self.matched[s][t] if self.kids[s] and self.kids[t] else 1
+
+    def known(self, s: int, t: int) -> bool:
+        return s == t or self.tag[s] != self.tag[t] or not self.kids[s] or not self.kids[t] or t in self.matched.get(s, ())
+
+    def need(self, pairs) -> None:
+        """Finds the matchings of pairs of subtrees, of those below first; nothing recurses."""
+        for p in pairs:
+            todo = [p]
+            while todo:
+                s, t = todo.pop()
+                if self.known(s, t):
+                    continue
+                a, b = self.kids[s], self.kids[t]
+                head = common(a, b)
+                tail = common(a[head:][::-1], b[head:][::-1])
+                inner, other = a[head : len(a) - tail], b[head : len(b) - tail]
+                below = [x for x in product(set(inner), set(other)) if not self.known(*x)]
+                if below:
+                    todo.append((s, t))
+                    todo.extend(below)
+                    continue
+                last = [0]
+                for row in self.rows(inner, other):
+                    last = row
+                self.matched.setdefault(s, {})[t] = 1 + sum(self.size[k] for k in (*a[:head], *a[len(a) - tail :])) + int(last[-1])
+                self.entries += 1
+
+    def rows(self, a, b, last=None):
+        """Rows of the table of the largest matchings of the heads of two lists, one for each of a."""
+        weights: dict[int, list | np.ndarray] = {}
+        wide = len(b) >= WIDE
+        if wide:
+            names, at = np.unique(np.array(b), return_inverse=True)
+            names = names.tolist()
+        if last is None:
+            last = np.zeros(len(b) + 1, np.int64) if wide else [0] * (len(b) + 1)
+        for s in a:
+            w = weights.get(s)
+            if w is None:
+                if len(weights) * len(b) > CELLS:
+                    weights.clear()
+                w = weights[s] = np.array([self.weight(s, t) for t in names], np.int64)[at] if wide else [self.weight(s, t) for t in b]
+            if wide:
+                row = last.copy()
+                np.maximum(row[1:], last[:-1] + w, out=row[1:])
+                row = np.maximum.accumulate(row)
+            else:
+                row, best, before = [0], 0, 0
+                for x, up in zip(w, last[1:], strict=True):
+                    if up > best:
+                        best = up
+                    if x and before + x > best:
+                        best = before + x
+                    before = up
+                    row.append(best)
+            yield row
+            last = row
+
+    def pairs(self, a, b) -> list[tuple[int, int]]:
+        """Positions that the largest matching of two lists pairs, in order; of equal matchings the one that passes over the last of a, then of b."""
+        head = common(a, b)
+        out = [(i, i) for i in range(head)]
+        a, b = a[head:], b[head:]
+        if not a or not b:
+            return out
+        self.need(product(set(a), set(b)))
+        step = 1 if len(a) * len(b) <= CELLS else isqrt(len(a)) + 1
+        kept = [[0] * (len(b) + 1) if len(b) < WIDE else np.zeros(len(b) + 1, np.int64)]
+        kept += [row for i, row in enumerate(self.rows(a, b), 1) if i % step == 0]
+        i, j, back = len(a), len(b), []
+        while i and j:
+            low = (i - 1) // step * step  # rows from here to i
+            m = kept[low // step : low // step + 2] if step == 1 else [kept[low // step], *self.rows(a[low:i], b, kept[low // step])]
+            while i > low and j:
+                row, up = m[i - low], m[i - low - 1]
+                if row[j] == up[j]:
+                    i -= 1
+                elif row[j] == row[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    back.append((head + i, head + j))
+        return out + back[::-1]
+
+
+def common(a, b) -> int:
+    """How many equal ones two lists begin with."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 class Frame:
-    """A frame page's tree in order of the walk: a slot is a position; `kids` and `last` (slot after a subtree) by slot."""
+    """A frame page's tree in order of the walk: a slot is a position; `kids`, `last` (slot after a subtree) and `shape` by slot."""
 
     def __init__(self, nodes: list[list]):
         self.nodes, n = nodes, len(nodes)  # (tag, text hash, text length, depth)
@@ -86,7 +222,16 @@ class Frame:
                 self.kids[path[-1]].append(i)
                 self.above[i] = path[-1]
             path.append(i)
-        self.plain = [len(k) == 1 and nodes[k[0]][0] == "#text" for k in self.kids]
+        self.shapes: Shapes | None = None
+
+    def numbered(self) -> Shapes:
+        """Shapes with the frame's own, and what the last pages left if that isn't much."""
+        if self.shapes is None or len(self.shapes.ids) + self.shapes.entries > self.held:
+            self.shapes, self.shape = Shapes(), [0] * len(self.nodes)
+            for i in range(len(self.nodes) - 1, -1, -1):
+                self.shape[i] = self.shapes.of(self.nodes[i][0], tuple(self.shape[k] for k in self.kids[i]))
+            self.held = HELD + 2 * len(self.shapes.ids)
+        return self.shapes
 
 
 def freeze(root: Node) -> bytes:
@@ -102,57 +247,11 @@ def thaw(data: bytes) -> Frame:
     return Frame(json.loads(data))
 
 
-def near(i: int, j: int, n: int, m: int) -> bool:
-    """Whether children i of n and j of m may match: all of ordinary lists, those about as far along of very long ones."""
-    return n * m <= LONG or abs(i * m - j * n) <= BAND * max(n, m)
-
-
-def sizes(page: Node, frame: Frame) -> dict[tuple[int, int], int]:
-    """Size of the largest matching of each pair of equal elements that both have children, by simple tree matching.
-
-    A pair is found from the one pair of its parents, so those found last are computed first; nothing recurses.
-    """
-    pairs = [(page, 0)] if page.tag == frame.nodes[0][0] else []
-    found: dict[tuple[int, int], int] = {}
-    nodes, kids, plain = frame.nodes, frame.kids, frame.plain
-    for n, f in pairs:
-        a, b = n.kids, kids[f]
-        all_ = len(a) * len(b) <= LONG
-        for i, x in enumerate(a):
-            if x.kids:
-                tag, simple = x.tag, len(x.kids) == 1 and x.kids[0].tag == "#text"
-                for j, y in enumerate(b):
-                    if tag == nodes[y][0] and kids[y] and (all_ or near(i, j, len(a), len(b))):
-                        if simple and plain[y]:
-                            found[id(x), y] = 2  # an element and its one run of text
-                        else:
-                            pairs.append((x, y))
-    for n, f in reversed(pairs):
-        found[id(n), f] = 1 + (table(n.kids, kids[f], frame, found)[-1][-1] if n.kids and kids[f] else 0)
-    return found
-
-
-def table(a: list[Node], b: list[int], frame: Frame, found: dict[tuple[int, int], int]) -> list[list[int]]:
-    """Dynamic programme over two lists of children, in order: the largest matching of each pair of their heads."""
-    m = [[0] * (len(b) + 1)]
-    all_, tags = len(a) * len(b) <= LONG, [frame.nodes[f][0] for f in b]
-    for i, n in enumerate(a):
-        last, row, tag, me = m[-1], [0], n.tag, id(n)
-        for j, f in enumerate(b):
-            best = row[j] if row[j] > last[j + 1] else last[j + 1]
-            if tag == tags[j] and (all_ or near(i, j, len(a), len(b))):
-                s = last[j] + found.get((me, f), 1)
-                if s > best:
-                    best = s
-            row.append(best)
-        m.append(row)
-    return m
-
-
 def align(page: Node, frame: Frame | bytes) -> list[tuple[Node, int, bool]]:
     """Sets `slot` of the page's nodes that the matching pairs with the frame's, and `same` of text with equal text; returns the latter."""
     frame = thaw(frame) if isinstance(frame, bytes) else frame
-    found, out = sizes(page, frame), []
+    shapes, out = frame.numbered(), []
+    shape = shapes.page(page)
     todo = [(page, 0)] if page.tag == frame.nodes[0][0] else []
     while todo:
         n, slot = todo.pop()
@@ -161,19 +260,9 @@ def align(page: Node, frame: Frame | bytes) -> list[tuple[Node, int, bool]]:
             n.same = text_hash(n.text) == frame.nodes[slot][1] and len(n.text) == frame.nodes[slot][2]
             out.append((n, slot, n.same))
             continue
-        a, b = n.kids, frame.kids[slot]
-        if not a or not b:
-            continue
-        m = table(a, b, frame, found)
-        i, j = len(a), len(b)
-        while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((a[i], b[j]))
+        kids = frame.kids[slot]
+        found = shapes.pairs([shape[id(k)] for k in n.kids], [frame.shape[k] for k in kids])
+        todo.extend((n.kids[i], kids[j]) for i, j in reversed(found))
     return out
 
 

@@ -327,3 +327,48 @@ def test_topk_of_few_long_ranges_groups_and_ties(spark, monkeypatch):
         monkeypatch.setattr(exact_topk, name, x)
     got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
     assert got == plain_top(rows)
+
+
+def plain_matching(a, f, frame):
+    """Size of the largest matching by whole tables, without any trimming."""
+    if a.tag != frame.nodes[f][0]:
+        return 0
+    last = [0] * (len(frame.kids[f]) + 1)
+    for x in a.kids:
+        row = [0]
+        for j, y in enumerate(frame.kids[f]):
+            row.append(max(row[j], last[j + 1], last[j] + plain_matching(x, y, frame)))
+        last = row
+    return 1 + last[-1]
+
+
+def test_long_lists_match_far_from_their_diagonal(monkeypatch):
+    lists, paragraphs = "<ul><li>x</li></ul>" * 300, "".join(f"<p>t {k}</p>" for k in range(200))
+    frame = html_wrapper.thaw(html_wrapper.freeze(dom.parse(f"<body>{paragraphs}{'<ul><li>x</li></ul>' * 100}</body>")))
+    page = dom.parse(f"<body>{lists}{paragraphs}</body>")
+    assert all(same for _, _, same in html_wrapper.align(page, frame))  # each paragraph with its own
+    assert sum(n.slot >= 0 for n in page.walk()) == plain_matching(page, 0, frame)
+    rng = random.Random(4)
+    items = ["<p>x</p>", "<div>y</div>", "<ul><li>z</li></ul>", "<div><p>a</p></div>", "<div><p>a</p><p>b</p></div>"]
+    for k in range(8):
+        a, b = ("<body>" + "".join(rng.choice(items) for _ in range(rng.randrange(40, 160))) + "</body>" for _ in range(2))
+        got = []
+        for cells, wide in ((1 << 22, 48), (50, 48), (50, 1000)):  # sizes at which tables are kept or made otherwise: equal results
+            monkeypatch.setattr(html_wrapper, "CELLS", cells)
+            monkeypatch.setattr(html_wrapper, "WIDE", wide)
+            page, frame = dom.parse(a), html_wrapper.thaw(html_wrapper.freeze(dom.parse(b)))
+            html_wrapper.align(page, frame)
+            got.append([n.slot for n in page.walk()])
+        assert got[0] == got[1] == got[2] and sum(x >= 0 for x in got[0]) == plain_matching(page, 0, frame)
+
+
+def test_template_is_told_in_long_pages_too(spark):
+    """A long constant list after a long varying one is template, however far the varying one moves it."""
+    rng = random.Random(6)
+    foot = "".join(f"<section><h3>Partner {k} of this host</h3></section>" for k in range(300))
+    pages = []
+    for i in range(8):
+        lines = [f"Line {k} of piece {i} {rng.randrange(10**6)}" for k in range(1 if i % 2 else 400)]
+        pages.append((i, "https://h.example/", "<body><div>" + "".join(f"<p>{x}</p>" for x in lines) + foot + "</div></body>", "\n".join(lines)))
+    got = html_wrapper.extract(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {p[0]: p[3] for p in pages}
